@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import ngram_join, ngram_join_sql
+from orrery.llm import ngram_join, ngram_join_sql, suffix_dedup, suffix_dedup_sql
 from orrery.llm.common import table
 
 
@@ -10,5 +10,9 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLE = {"op2_ngram_jaccard_join": ngram_join_sql.SQL}
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_suffix_array_dedup)}
+ORACLE = {"op2_ngram_jaccard_join": ngram_join_sql.SQL, "op3_suffix_array_dedup": suffix_dedup_sql.SQL}

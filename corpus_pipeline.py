@@ -1,8 +1,52 @@
-"""The corpus pipeline; its stages follow as their operators arrive."""
+"""The corpus pipeline: five stages over the documents, each a table for the next.
 
+Language ID drops texts without a language, the n-gram Jaccard join leaves one
+document of each group of near copies, the suffix-array dedup takes repeated
+passages out, the mix brings the sources to equal weights, and the packing assigns
+what is left to length buckets and batches.
+"""
+
+from __future__ import annotations
+
+from orrery.llm import langid, mixing, ngram_join, packing, suffix_dedup
+from orrery.llm.common import cut, table
+
+
+def language_id(spark, docs, sf_dir):
+    return langid.keep_identified(docs)
+
+
+def ngram_jaccard(spark, docs, sf_dir):
+    return ngram_join.drop_near_copies(docs)
+
+
+def suffix_array(spark, docs, sf_dir):
+    return suffix_dedup.drop_repeats(docs)
+
+
+def source_mix(spark, docs, sf_dir):
+    return mixing.mixed(docs)
+
+
+def length_buckets(spark, docs, sf_dir):
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_array", suffix_array),
+    ("source_mix", source_mix),
+    ("length_buckets", length_buckets),
+]
+
+#: The classifiers of the first stage cannot be written as SQL; tests run the
+#: stages against brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

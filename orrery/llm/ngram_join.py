@@ -3,13 +3,14 @@
 A document is the set of its word n-grams.  All pairs with a Jaccard similarity
 of at least ``threshold`` are found exactly:
 
-1. one pass counts all grams into a table of fixed size, which gives the rare-first
-   order (any total order is right, a good one only makes fewer candidates);
-2. one pass writes, for each document, a signature of its set, the set's size and
-   the *prefix* of its grams in that order, long enough that two similar sets must
-   share a gram of their prefixes;
-3. the prefixes are joined on the gram; the length and positional filters drop
-   pairs within the run of a gram, and a pair found by many grams becomes one row;
+1. one pass writes a signature of each document's set and counts all grams into a
+   table of fixed size, which gives the rare-first order (any total order is right,
+   a good one only makes fewer candidates);
+2. one pass gives the *prefix* of each set in that order, long enough that two
+   similar sets must share ``SHARED`` grams of their prefixes;
+3. the prefixes are joined on the gram; the length filter ends the run of a gram, a
+   pair found by many grams becomes one row, and the number of grams shared so far
+   with those that can still follow (the positional filter) drops most pairs;
 4. each remaining pair is verified once: the suffix filter bounds the overlap from
    counts in fixed ranges of gram hashes, and the sorted sets decide.
 
@@ -27,56 +28,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
 from orrery.llm.common import cut
 
-N, THRESHOLD = 2, 0.7
-#: Counters of the frequency table, whatever the size of the corpus.
-BUCKETS = 1 << 20
+N, THRESHOLD = 3, 0.6
+#: Shared grams that two prefixes must have, unless the sets themselves are smaller.
+SHARED = 3
+#: Counters of the frequency table, a byte each, whatever the size of the corpus.
+BUCKETS = 1 << 24
 _CHUNK = 1 << 14
 #: Beyond so many members, the pairs of a block are verified in several tasks.
 BLOCK = 2048
+#: Bits of the filter through which sets of candidates are read.
+BITS = 1 << 25
 _EPS = 1e-9
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(44)).astype(np.int64)
+    return (g >> np.uint64(40)).astype(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
-def frequencies(docs: DataFrame, n: int = N) -> np.ndarray:
-    """Occurrences of all grams of all documents, in ``BUCKETS`` hashed counters."""
-
-    def partial(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for _, _, first, h, _, _ in textops.words(batch.column(0)):
-                total += np.bincount(_bucket(textops.grams(h, first, n)[0]), minlength=BUCKETS)
-        for k in range(0, BUCKETS, _CHUNK):
-            part = total[k : k + _CHUNK]
-            if part.any():
-                kind = np.uint16 if part.max() < 65536 else np.int64
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype(kind).tobytes()])], names=["k", "counts"])
-
-    def merge(pieces: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, dtype=np.int64)
-        for x in pieces["counts"].to_pylist():
-            total += np.frombuffer(x, dtype=np.uint16 if len(x) == 2 * _CHUNK else np.int64)
-        return pa.table({"k": pieces["k"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()])})
-
-    rows = _texts(docs).select("text").mapInArrow(partial, "k long, counts binary").groupBy("k").applyInArrow(merge, "k long, counts binary").collect()
-    out = np.zeros(BUCKETS, dtype=np.uint32)
-    for k, counts in rows:
-        out[k : k + _CHUNK] = np.frombuffer(counts, dtype=np.uint32)
-    return out
-
-
 def _distinct(first: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of each text, ordered by text and hash."""
     g, d = textops.grams(h, first, n)
@@ -94,72 +73,121 @@ def _signature(g: np.ndarray, d: np.ndarray, rows: int) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).view(np.int64)
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, sig, size, prefix``: one row for each document with words."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _steps(total: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact up to 128, then in eighths of doublings."""
+    high = 128 + 8 * np.log2(np.maximum(total, 128) / 128)
+    return np.where(total < 128, total, np.minimum(high, 255)).astype(np.uint8)
+
+
+def survey(docs: DataFrame, n: int = N) -> DataFrame:
+    """One pass over all texts for two kinds of rows.
+
+    ``doc_id, sig, size`` of each document with words, and ``k, counts``, a part of
+    a task's table of gram frequencies.
+    """
 
     def run(batches):
-        freq = shared.value
+        names = ["doc_id", "sig", "size", "k", "counts"]
+        total = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
             ids = batch.column(0)
             for i, j, first, h, _, _ in textops.words(batch.column(1)):
+                g, d = _distinct(first, h, n)
+                np.add.at(total, _bucket(g), 1)
+                size = np.bincount(d, minlength=j - i)
+                has = size > 0
+                none = pa.nulls(int(has.sum()))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(pa.array(has)), pa.array(_signature(g, d, j - i)[has]), pa.array(size[has].astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        parts = [(k, squeeze(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes())) for k in range(BUCKETS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
+        none = pa.nulls(len(parts))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+
+    return _texts(docs).mapInArrow(run, "doc_id long, sig long, size int, k int, counts binary")
+
+
+def frequencies(surveyed: DataFrame) -> np.ndarray:
+    """In how many documents each bucket's grams are, in the steps of ``_steps``."""
+
+    def merge(pieces: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(_CHUNK, dtype=np.int64)
+        for x in pieces["counts"]:
+            total += np.frombuffer(expand(x.as_py()), dtype=np.uint32)
+        return pa.table({"k": pieces["k"].slice(0, 1), "counts": pa.array([_steps(total).tobytes()])})
+
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    for k, counts in surveyed.filter("k is not null").select("k", "counts").groupBy("k").applyInArrow(merge, "k int, counts binary").collect():
+        out[k * _CHUNK : (k + 1) * _CHUNK] = np.frombuffer(counts, dtype=np.uint8)
+    return out
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``gram, sig, size, rest``: the prefix of each document's set, rarest first.
+
+    ``rest`` counts the grams after this one.  Prefixes are ``SHARED - 1`` longer
+    than one shared gram needs, so similar sets share ``SHARED`` of them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        freq = shared.value
+        for batch in batches:
+            for i, j, first, h, _, _ in textops.words(batch.column(0)):
                 g, d = _distinct(first, h, n)
                 size = np.bincount(d, minlength=j - i)
                 sig = _signature(g, d, j - i)
                 order = np.lexsort((g, freq[_bucket(g)], d))
                 at = np.concatenate([[0], np.cumsum(size)])
-                length = np.where(size > 0, size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1, 0)
-                inside = np.arange(len(g)) - at[d] < length[d]
-                has = size > 0
-                offsets = np.concatenate([[0], np.cumsum(length[has])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[order][inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(pa.array(has)), pa.array(sig[has]), pa.array(size[has].astype(np.int32)), prefix], names=["doc_id", "sig", "size", "prefix"])
+                length = size - np.ceil(threshold * size - _EPS).astype(np.int64) + SHARED
+                place = np.arange(len(g)) - at[d]
+                inside = np.flatnonzero(place < length[d])
+                text = d[inside]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[order[inside]].view(np.int64)), pa.array(sig[text]), pa.array(size[text].astype(np.int32)), pa.array((size[text] - 1 - place[inside]).astype(np.int32))],
+                    names=["gram", "sig", "size", "rest"],
+                )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, sig long, size int, prefix array<long>")
+    return _texts(docs).select("text").mapInArrow(run, "gram long, sig long, size int, rest int")
 
 
 def _runs(table: pa.Table, threshold: float):
-    """Pairs of the whole runs of equal grams in a table sorted by gram and size."""
-    gram, sig, size, pos = (table.column(k).to_numpy() for k in range(4))
+    """Pairs of the whole runs of equal grams in a table sorted by gram, size and sig."""
+    gram, sig, size, rest = (table.column(k).to_numpy() for k in range(4))
     keep = np.ones(len(gram), dtype=bool)
     keep[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
-    gram, sig, size, pos = gram[keep], sig[keep], size[keep].astype(np.int64), pos[keep].astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    gram, sig, size, rest = gram[keep], sig[keep], size[keep].astype(np.int64), rest[keep].astype(np.int64)
+    if not len(gram):
+        return
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     stop = np.append(start[1:], len(gram))
     end = np.repeat(stop, stop - start)
-    limit = np.arange(len(gram))
     # Within its run, each row meets those after it, so far as their length allows.
-    step = 1
-    alive = np.flatnonzero(limit + step < end)
+    step, alive = 1, np.flatnonzero(np.arange(len(gram)) + 1 < end)
     while len(alive):
+        alive = alive[size[alive] >= threshold * size[alive + step] - _EPS]
         a, b = alive, alive + step
-        long_ok = size[a] >= threshold * size[b] - _EPS
-        alive = alive[long_ok]
-        a, b = a[long_ok], b[long_ok]
-        need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - _EPS)
-        ok = (1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need) & (sig[a] != sig[b])
-        a, b = a[ok], b[ok]
         if len(a):
-            yield np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
+            yield np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b]), np.ones(len(a), np.int32), np.minimum(rest[a], rest[b]).astype(np.int32), (size[a] + size[b]).astype(np.int32)
         step += 1
         alive = alive[alive + step < end[alive]]
 
 
-def _distinct_pairs(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _gathered(parts: list) -> tuple[np.ndarray, ...]:
+    """The rows of ``_runs`` with one row for each pair."""
+    a, b, count, rest, both = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), dtype=bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[keep], b[keep]
+    a, b, count, rest, both = a[order], b[order], count[order], rest[order], both[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(count, first).astype(np.int32), np.minimum.reduceat(rest, first), both[first]
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs of signatures ``a < b`` that pass the length and positional filters."""
+def candidates(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of signatures ``a < b`` that pass the length, count and positional filters."""
+    names = ["a", "b", "c", "rest", "both"]
 
     def emit(parts):
-        a, b = _distinct_pairs(parts)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _gathered(parts)], names=names)
 
     def run(batches):
         rest, parts, held = None, [], 0
@@ -174,7 +202,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 parts.append(part)
                 held += len(part[0])
                 if held > 1 << 20:
-                    parts = [_distinct_pairs(parts)]
+                    parts = [_gathered(parts)]
                     held = len(parts[0][0])
                     if held > 1 << 19:
                         yield emit(parts)
@@ -189,9 +217,10 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if parts:
             yield emit(parts)
 
-    index = sets.select("sig", "size", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sig", "size", "pos")
     runs = index.repartition("gram").sortWithinPartitions("gram", "size", "sig")
-    return runs.mapInArrow(run, "a long, b long").distinct()
+    pairs = runs.mapInArrow(run, "a long, b long, c int, rest int, both int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"), F.max("both").alias("both"))
+    need = F.ceil(threshold / (1 + threshold) * F.col("both") - F.lit(_EPS))
+    return pairs.filter((F.col("c") >= F.least(F.lit(SHARED), need)) & (F.col("c") + F.col("rest") >= need)).select("a", "b")
 
 
 def _verified(threshold: float):
@@ -221,8 +250,11 @@ def _verified(threshold: float):
                 if key != block:
                     block, sets = key, {}
                 if b[k] is None:
-                    g = np.frombuffer(grams[k].as_buffer(), dtype=np.uint64)
-                    sets[a[k]] = (g, np.bincount((g >> np.uint64(58)).astype(np.int64), minlength=64))
+                    six = np.frombuffer(grams[k].as_buffer(), dtype=np.uint8).reshape(-1, 6)
+                    wide = np.zeros((len(six), 8), dtype=np.uint8)
+                    wide[:, :6] = six
+                    g = wide.view(np.int64).ravel()
+                    sets[a[k]] = (g, np.bincount(g >> 42, minlength=64))
                 elif (j := verify(sets, a[k], b[k])) is not None:
                     for column, value in zip(out, (a[k], b[k], j), strict=True):
                         column.append(value)
@@ -232,18 +264,36 @@ def _verified(threshold: float):
     return run
 
 
-def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """``sig, grams``: the sorted hashes of each document's grams, as bytes."""
+def _ids_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id: a filter of fixed size, ``BITS`` whatever the corpus."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    rows = ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
+    return out
+
+
+def gram_sets(docs: DataFrame, bitmap: np.ndarray, n: int = N) -> DataFrame:
+    """``sig, grams`` of the documents that the bitmap names, and of a few others.
+
+    ``grams`` has the sorted hashes, cut to 48 bits, six bytes each.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
-            for i, j, first, h, _, _ in textops.words(batch.column(0)):
+            at = batch.column(2).to_numpy()
+            some = batch.column(1).filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+            for i, j, first, h, _, _ in textops.words(some):
                 g, d = _distinct(first, h, n)
                 sig = _signature(g, d, j - i)
                 at = np.searchsorted(d, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([g[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["sig", "grams"])
+                six = np.ascontiguousarray((g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([six[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["sig", "grams"])
 
-    return docs.select("text").mapInArrow(run, "sig long, grams binary")
+    rows = _texts(docs).withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    return rows.mapInArrow(run, "sig long, grams binary")
 
 
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,13 +305,12 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int = N, thres
     """
     ends = pairs.select(F.col("a").alias("x"), F.col("a").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     leaders = ends.groupBy("x").agg(F.min("y").alias("leader"))
-    led = pairs.join(leaders, pairs.a == leaders.x).select("leader", "a", "b")
+    led = cut(docs.sparkSession, pairs.join(leaders, pairs.a == leaders.x).select("leader", "a", "b"), "led")
     heads = led.groupBy("leader").agg(F.ceil(F.count("*") / (BLOCK * BLOCK / 2)).alias("parts"))
     led = led.join(heads, "leader").select("leader", F.pmod("a", "parts").alias("p"), F.pmod("b", "parts").alias("q"), "a", "b")
-    members = led.select("leader", "p", "q", "a").union(led.select("leader", "p", "q", "b")).distinct()
-    wanted = reps.join(members.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi")
-    texts = _texts(docs).join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = gram_sets(texts, n).dropDuplicates(["sig"])
+    members = cut(docs.sparkSession, led.select("leader", "p", "q", "a").union(led.select("leader", "p", "q", "b")).distinct(), "members")
+    wanted = reps.join(members.select(F.col("a").alias("sig")), "sig", "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = gram_sets(docs, _ids_bitmap(wanted), n)
     placed = members.join(sets, members.a == sets.sig).select("leader", "p", "q", "a", F.lit(None).cast("long").alias("b"), "grams")
     rows = placed.unionByName(led.withColumn("grams", F.lit(None).cast("binary")))
     rows = rows.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", F.col("b").asc_nulls_first())
@@ -277,8 +326,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must lie in (0, 1] and n be at least 1")
     spark: SparkSession = docs.sparkSession
-    sets = cut(spark, signatures(docs, frequencies(docs, n), n, threshold), "sets")
-    pairs = cut(spark, candidates(sets, threshold), "candidates")
+    surveyed = cut(spark, survey(docs, n), "survey")
+    sets = surveyed.filter("k is null").select("doc_id", "sig")
+    pairs = cut(spark, candidates(prefixes(docs, frequencies(surveyed), n, threshold), threshold), "candidates")
     reps = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     similar = verify(docs, reps, pairs, n, threshold)
     left, right = reps.select(F.col("sig").alias("a"), F.col("rep").alias("x")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("y"))

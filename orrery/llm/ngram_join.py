@@ -8,13 +8,15 @@ of at least ``threshold`` are found exactly:
    a good one only makes fewer candidates);
 2. one pass gives the *prefix* of each set in that order, long enough that two
    similar sets must share ``SHARED`` grams of their prefixes;
-3. the prefixes are joined on the gram; the length filter ends the run of a gram, a
-   pair found by many grams becomes one row, and the number of grams shared so far
+3. the prefixes are joined on the gram, in two steps: the sets of a gram's run are
+   sent on to the block of the lowest among them, where the grams that a group of
+   copies shares meet again, so that a pair becomes one row there and not one for
+   each gram; the length filter ends a run, and the number of grams shared so far
    with those that can still follow (the positional filter) drops most pairs;
 4. each remaining pair is verified once: the suffix filter bounds the overlap from
    counts in fixed ranges of gram hashes, and the sorted sets decide.
 
-Documents with equal sets are one entity throughout; the result pairs each with
+Documents with the same grams, equally often, are one entity throughout; the result pairs each with
 the lowest of its ids, so a group of a thousand copies is a thousand rows and not
 half a million.  ``expand_copies`` gives the pairs of all documents.
 
@@ -56,11 +58,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
-def _distinct(first: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of each text, ordered by text and hash."""
-    g, d = textops.grams(h, first, n)
-    order = np.lexsort((g, d))
-    g, d = g[order], d[order]
+def _once(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(g), dtype=bool)
     keep[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
     return g[keep], d[keep]
@@ -82,32 +80,31 @@ def _steps(total: np.ndarray) -> np.ndarray:
 def survey(docs: DataFrame, n: int = N) -> DataFrame:
     """One pass over all texts for two kinds of rows.
 
-    ``doc_id, sig, size`` of each document with words, and ``k, counts``, a part of
+    ``doc_id, sig`` of each document with words, and ``k, counts``, a part of
     a task's table of gram frequencies.
     """
 
     def run(batches):
-        names = ["doc_id", "sig", "size", "k", "counts"]
+        names = ["doc_id", "sig", "k", "counts"]
         total = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
             ids = batch.column(0)
             for i, j, first, h, _, _ in textops.words(batch.column(1)):
-                g, d = _distinct(first, h, n)
+                g, d = textops.grams(h, first, n)
                 np.add.at(total, _bucket(g), 1)
-                size = np.bincount(d, minlength=j - i)
-                has = size > 0
+                has = np.diff(first) > 0
                 none = pa.nulls(int(has.sum()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(pa.array(has)), pa.array(_signature(g, d, j - i)[has]), pa.array(size[has].astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).filter(pa.array(has)), pa.array(_signature(g, d, j - i)[has]), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         parts = [(k, squeeze(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes())) for k in range(BUCKETS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         none = pa.nulls(len(parts))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, sig long, size int, k int, counts binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, sig long, k int, counts binary")
 
 
 def frequencies(surveyed: DataFrame) -> np.ndarray:
-    """In how many documents each bucket's grams are, in the steps of ``_steps``."""
+    """How often each bucket's grams occur, in the steps of ``_steps``."""
 
     def merge(pieces: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
@@ -134,31 +131,47 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = N, threshold: float =
         freq = shared.value
         for batch in batches:
             for i, j, first, h, _, _ in textops.words(batch.column(0)):
-                g, d = _distinct(first, h, n)
-                size = np.bincount(d, minlength=j - i)
+                g, d = textops.grams(h, first, n)
                 sig = _signature(g, d, j - i)
-                order = np.lexsort((g, freq[_bucket(g)], d))
+                order = np.lexsort((g, d * 256 + freq[_bucket(g)]))
+                g, d = _once(g[order], d[order])
+                size = np.bincount(d, minlength=j - i)
                 at = np.concatenate([[0], np.cumsum(size)])
                 length = size - np.ceil(threshold * size - _EPS).astype(np.int64) + SHARED
                 place = np.arange(len(g)) - at[d]
                 inside = np.flatnonzero(place < length[d])
                 text = d[inside]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[order[inside]].view(np.int64)), pa.array(sig[text]), pa.array(size[text].astype(np.int32)), pa.array((size[text] - 1 - place[inside]).astype(np.int32))],
+                    [pa.array(g[inside].view(np.int64)), pa.array(sig[text]), pa.array(size[text].astype(np.int32)), pa.array((size[text] - 1 - place[inside]).astype(np.int32))],
                     names=["gram", "sig", "size", "rest"],
                 )
 
     return _texts(docs).select("text").mapInArrow(run, "gram long, sig long, size int, rest int")
 
 
-def _runs(table: pa.Table, threshold: float):
-    """Pairs of the whole runs of equal grams in a table sorted by gram, size and sig."""
+def _led(table: pa.Table) -> pa.RecordBatch | None:
+    """The runs of at least two sets, each row with its block: the run's lowest
+    signature and, for long runs, a part of the grams."""
     gram, sig, size, rest = (table.column(k).to_numpy() for k in range(4))
     keep = np.ones(len(gram), dtype=bool)
     keep[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
-    gram, sig, size, rest = gram[keep], sig[keep], size[keep].astype(np.int64), rest[keep].astype(np.int64)
+    gram, sig, size, rest = gram[keep], sig[keep], size[keep], rest[keep]
+    if not len(gram):
+        return None
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    length = np.diff(np.append(start, len(gram)))
+    many = np.repeat(length > 1, length)
+    part = gram[start].view(np.uint64) % (1 + length // 256).astype(np.uint64)
+    block = np.repeat(textops.mix(np.minimum.reduceat(sig, start).view(np.uint64) + part).view(np.int64), length)
+    return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (block, gram, sig, size, rest)], names=["block", "gram", "sig", "size", "rest"])
+
+
+def _runs(table: pa.Table, threshold: float):
+    """Pairs of the whole runs of a gram in a table sorted by block, gram, size and sig."""
+    gram, sig, size, rest = (table.column(k).to_numpy() for k in range(1, 5))
     if not len(gram):
         return
+    size, rest = size.astype(np.int64), rest.astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     stop = np.append(start[1:], len(gram))
     end = np.repeat(stop, stop - start)
@@ -182,6 +195,22 @@ def _gathered(parts: list) -> tuple[np.ndarray, ...]:
     return a[first], b[first], np.add.reduceat(count, first).astype(np.int32), np.minimum.reduceat(rest, first), both[first]
 
 
+def _whole_runs(batches, column: int):
+    """The batches again, cut only where the numbers of a column change."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        run = table.column(column).to_numpy()
+        other = np.flatnonzero(run != run[-1]) if len(run) else run
+        at = int(other[-1]) + 1 if len(other) else 0
+        rest = table.slice(at)
+        yield table.slice(0, at)
+    if rest is not None:
+        yield rest
+
+
 def candidates(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of signatures ``a < b`` that pass the length, count and positional filters."""
     names = ["a", "b", "c", "rest", "both"]
@@ -189,16 +218,15 @@ def candidates(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def emit(parts):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in _gathered(parts)], names=names)
 
+    def lead(batches):
+        for table in _whole_runs(batches, 0):
+            if (out := _led(table)) is not None and out.num_rows:
+                yield out
+
     def run(batches):
-        rest, parts, held = None, [], 0
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            gram = table.column(0).to_numpy()
-            cut_at = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
-            rest = table.slice(cut_at)
-            for part in _runs(table.slice(0, cut_at), threshold):
+        parts, held = [], 0
+        for table in _whole_runs(batches, 1):
+            for part in _runs(table, threshold):
                 parts.append(part)
                 held += len(part[0])
                 if held > 1 << 20:
@@ -207,18 +235,12 @@ def candidates(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     if held > 1 << 19:
                         yield emit(parts)
                         parts, held = [], 0
-        if rest is not None:
-            for part in _runs(rest, threshold):
-                parts.append(part)
-                held += len(part[0])
-                if held > 1 << 20:
-                    yield emit(parts)
-                    parts, held = [], 0
         if parts:
             yield emit(parts)
 
     runs = index.repartition("gram").sortWithinPartitions("gram", "size", "sig")
-    pairs = runs.mapInArrow(run, "a long, b long, c int, rest int, both int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"), F.max("both").alias("both"))
+    blocks = runs.mapInArrow(lead, "block long, gram long, sig long, size int, rest int").repartition("block").sortWithinPartitions("block", "gram", "size", "sig")
+    pairs = blocks.mapInArrow(run, "a long, b long, c int, rest int, both int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"), F.max("both").alias("both"))
     need = F.ceil(threshold / (1 + threshold) * F.col("both") - F.lit(_EPS))
     return pairs.filter((F.col("c") >= F.least(F.lit(SHARED), need)) & (F.col("c") + F.col("rest") >= need)).select("a", "b")
 
@@ -286,8 +308,10 @@ def gram_sets(docs: DataFrame, bitmap: np.ndarray, n: int = N) -> DataFrame:
             at = batch.column(2).to_numpy()
             some = batch.column(1).filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             for i, j, first, h, _, _ in textops.words(some):
-                g, d = _distinct(first, h, n)
+                g, d = textops.grams(h, first, n)
                 sig = _signature(g, d, j - i)
+                order = np.lexsort((g, d))
+                g, d = _once(g[order], d[order])
                 at = np.searchsorted(d, np.arange(j - i + 1))
                 six = np.ascontiguousarray((g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([six[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["sig", "grams"])
@@ -321,7 +345,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     """``doc_a, doc_b, jaccard`` with ``doc_a < doc_b``; see the module's text.
 
     Pairs of distinct sets are complete between the sets' lowest ids; a further
-    document of an equal set comes once, beside that lowest id, with 1.0.
+    document with the same grams comes once, beside that lowest id, with 1.0.
     """
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must lie in (0, 1] and n be at least 1")

@@ -6,10 +6,12 @@ SQL = rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), m AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w
 ), g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w
+  SELECT DISTINCT doc_id, gram FROM m
 ), s AS (
-  SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS sig FROM g GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT gram) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS sig FROM m GROUP BY doc_id
 ), r AS (
   SELECT *, min(doc_id) OVER (PARTITION BY sig) AS rep FROM s
 ), o AS (

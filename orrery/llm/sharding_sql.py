@@ -1,7 +1,7 @@
-"""Longest-processing-time scheduling as SQL.
+"""Longest-processing-time scheduling as SQL: a recursion that places one group a step.
 
-Groups of one size are placed in one step of a recursion over the sizes: of all
-places that the shards would offer to the size, the lowest loads come first.
+Groups of one size are alike; those of a size that a shard gets are the next ones
+by key, shards in rising order.
 """
 
 from orrery.llm.sharding import SHARDS
@@ -10,21 +10,19 @@ SQL = f"""
 WITH RECURSIVE g AS (
   SELECT md5(text) AS group_key, sum(greatest(coalesce(length(text), 0), 0))::BIGINT AS total FROM documents GROUP BY 1
 ), h AS (
-  SELECT total, count(*) AS c, row_number() OVER (ORDER BY total DESC) AS k FROM g GROUP BY total
+  SELECT total, row_number() OVER (ORDER BY total DESC) AS k FROM g
 ), s AS (
-  SELECT 0::BIGINT AS k, list_transform(range({SHARDS}), lambda i: 0::BIGINT) AS load, NULL::BIGINT[] AS upto
+  SELECT 0::BIGINT AS k, list_transform(range({SHARDS}), lambda i: 0::BIGINT) AS load, 0 AS shard
   UNION ALL
-  SELECT k, load_, upto_ FROM (
-    SELECT h.k AS k, h.total AS total, s.load AS load,
-      list_sort(flatten(list_transform(range({SHARDS}), lambda i: list_transform(range(CASE WHEN h.total = 0 THEN (CASE WHEN i = list_position(s.load, list_min(s.load)) - 1 THEN h.c ELSE 0 END) ELSE h.c END), lambda j: [s.load[i + 1] + j * h.total, i]))))[:h.c] AS spots,
-      list_transform(range({SHARDS}), lambda i: len(list_filter(spots, lambda x: x[2] = i))::BIGINT) AS n,
-      list_transform(range({SHARDS}), lambda i: s.load[i + 1] + n[i + 1] * h.total) AS load_,
-      list_transform(range({SHARDS}), lambda i: list_sum(n[:i + 1])::BIGINT) AS upto_
-    FROM s JOIN h ON h.k = s.k + 1)
+  SELECT k, list_transform(load, lambda x, i: x + CASE WHEN i = p THEN total ELSE 0 END), p - 1
+  FROM (SELECT h.k, h.total, s.load, list_position(s.load, list_min(s.load)) AS p FROM s JOIN h ON h.k = s.k + 1)
+), n AS (
+  SELECT total, shard, count(*) AS n FROM s JOIN h USING (k) GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY total ORDER BY shard) AS upto FROM n
 ), r AS (
   SELECT group_key, total, row_number() OVER (PARTITION BY total ORDER BY group_key NULLS FIRST) AS place FROM g
-), o AS (
-  SELECT group_key, len(list_filter(s.upto, lambda u: u < place))::INT AS shard FROM r JOIN h USING (total) JOIN s ON s.k = h.k
 )
-SELECT doc_id, md5(text) AS group_key, shard FROM documents d JOIN o ON o.group_key IS NOT DISTINCT FROM md5(d.text)
+SELECT doc_id, md5(text) AS group_key, shard::INT AS shard
+FROM documents d JOIN r ON r.group_key IS NOT DISTINCT FROM md5(d.text) JOIN u ON u.total = r.total AND place > upto - n AND place <= upto
 """

@@ -1,10 +1,287 @@
-"""The registered queries and, beside each, its SQL."""
+"""The registered queries and, beside each, its SQL.
+
+Each runs over its whole table.  The points come from three sources that both sides
+can express: the first axes of the embeddings (``axis``), a fixed random projection
+of them (``random``) and the orders on a lattice (``lattice``).
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import regions as G
+from orrery.functions import sphere as S
+from orrery.functions import vectors as V
+from orrery.operators import analytics as A
+from orrery.operators import categories as C
+from orrery.operators import clusters as K
+from orrery.operators import knn as N
+from orrery.operators import projections as J
+from orrery.operators import tuning as T
+from orrery.sources import points as P
+from orrery.sources import store as VS
+from orrery.streaming import regions as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+TARGET = (0.36, 0.48, 0.8)
+OTHER = (-0.6, 0.64, 0.48)
+BASES = {"axis": P.axis_sql(), "random": P.random_sql(), "lattice": P.lattice_sql()}
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    if name == "lattice":
+        return P.lattice_points(table("orders"))
+    return P.axis_points(table("embeddings")) if name == "axis" else P.random_points(table("embeddings"), keep_embedding=True)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to six decimals, without negative zeros; counts as 64-bit numbers."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        out.append((F.round(c, digits) + F.lit(0.0)).alias(f.name) if kind == "double" else c.cast("long").alias(f.name) if kind in ("int", "smallint") else c)
+    return df.select(*out)
+
+
+def _sql(base: str, body: str, doubles: list[str], others: list[str]) -> str:
+    """``body`` over the CTE ``p`` of a source, rounded like ``rounded``."""
+    columns = [f"{c} AS {c}" for c in others] + [f"round({c}, 6) + 0.0 AS {c}" for c in doubles]
+    return f"WITH p AS ({BASES[base]}) SELECT {', '.join(columns)} FROM ({body}) AS q"
+
+
+def _register(name: str, spark_side: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(spark_side(spark, sf_dir))
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+def _scalar(name: str, base: str, **columns: str) -> None:
+    """The same expressions of each point on both sides."""
+
+    def run(spark, sf_dir):
+        return source(spark, sf_dir, base).select("ordinal", *(F.expr(e).alias(c) for c, e in columns.items()))
+
+    _register(name, run, _sql(base, "SELECT ordinal, " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + " FROM p", list(columns), ["ordinal"]))
+
+
+U, T1, T2 = S.vec("u"), S.literal(TARGET), S.literal(OTHER)
+_triple = lambda names, values: dict(zip(names, values, strict=True))
+
+_scalar("sph_to_cart", "lattice", **_triple("abc", S.to_cartesian("r", "theta", "phi")))
+_scalar("cart_to_sph", "lattice", **_triple("abc", S.to_spherical(S.vec(""))))
+_scalar("sph_to_geo", "lattice", **_triple(("lat", "lon", "alt"), S.to_geo("r", "theta", "phi")))
+_scalar("geo_to_sph", "lattice", **_triple("abc", S.from_geo("(90.0 - degrees(phi))", "degrees(theta)", "r")))
+_scalar("unit_cartesian", "lattice", **_triple("abc", S.direction("theta", "phi")))
+_scalar("normalize_3d", "lattice", **_triple("abc", S.normalize(S.vec(""))), size=S.norm(S.vec("")))
+_scalar("dist_angular", "lattice", d=S.angular(U, T1))
+_scalar("dist_great_circle", "lattice", d=S.great_circle(U, T1, "6371.0"))
+_scalar("dist_chord", "lattice", d=S.chord(S.vec(""), T1))
+_scalar("dist_cosine_proxy", "lattice", d=S.cosine_proxy(U, T1))
+_scalar("interp_slerp", "lattice", **_triple("abc", S.slerp(U, T1, "0.3")))
+_scalar("interp_nlerp", "lattice", **_triple("abc", S.nlerp(U, T1, "0.3")))
+_scalar("interp_full_slerp", "lattice", **_triple("abc", S.full_slerp(U, "r", T1, "2.0", "0.3")))
+_scalar("antipode", "lattice", **_triple("ab", S.antipode("theta", "phi")))
+_scalar("bisector_normal", "lattice", **_triple("abc", S.bisector_normal(U, T1)))
+_scalar("arc_distance", "lattice", d=S.arc_distance(U, TARGET, OTHER))
+_scalar("spherical_excess", "lattice", e=S.excess(S.angular(U, T1), S.angular(T1, T2), S.angular(T2, U)))
+_scalar("cap_solid_angle", "lattice", area=S.cap_area("phi"))
+_scalar("cap_intersection_area", "lattice", area=S.cap_overlap(S.angular(U, T1), "0.7", "0.4"))
+_scalar("gap_confidence", "lattice", g=S.gap_confidence(f"({S.angular(U, T1)} - 0.5)", "4.0"))
+_scalar("quality_signal", "lattice", combined=S.quality("0.6", "(phi / 3.2)"))
+_scalar("bridge_threshold", "lattice", t=S.bridge_threshold("(phi / 3.2)", "0.5", "0.4"))
+_scalar("territorial_factor", "lattice", t=S.territorial("(phi / 3.2)", "(theta / 6.3)"))
+_scalar("export_points", "random", **{c: c for c in ("r", "theta", "phi", "x", "y", "z")})
+_scalar("project_random", "random", **{c: c for c in ("ux", "uy", "uz", "magnitude")})
+
+
+def _labels(name: str, expression: str) -> None:
+    _register(name, lambda s, d: source(s, d, "lattice").groupBy(F.expr(expression).alias("label")).count().withColumnRenamed("count", "n"), f"WITH p AS ({BASES['lattice']}) SELECT {expression} AS label, count(*) AS n FROM p GROUP BY 1")
+
+
+_labels("lune_classify", S.lune_side(U, T1, T2))
+_labels("quality_level", S.quality_level(S.quality("0.3", "(phi / 3.2)")))
+
+REGIONS = {
+    "region_cone": G.Cone(0.7, 1.1, 0.73),
+    "region_cap": G.Cap(5.9, 2.0, 0.41),
+    "region_shell": G.Shell(0.73, 2.11),
+    "region_band": G.Band(0.61, 1.37),
+    "region_wedge": G.Wedge(0.51, 2.03),
+    "region_wedge_wrap": G.Wedge(5.51, 0.43),
+    "region_intersection": G.Intersection((G.Shell(0.5, 3.0), G.Band(0.4, 2.0), G.Wedge(4.9, 1.0))),
+    "region_union": G.Union((G.Cap(0.3, 0.4, 0.3), G.Shell(3.3, 4.0), G.Intersection((G.Band(2.0, 3.0), G.Wedge(1.0, 2.0))))),
+}
+for _name, _region in REGIONS.items():
+    _register(_name, lambda s, d, g=_region: N.in_region(P.with_cells(source(s, d, "lattice"), [1.0, 2.0, 3.0]), g, 12, 6).select("ordinal"), f"WITH p AS ({BASES['lattice']}) SELECT ordinal FROM p WHERE {_region.sql()}")
+
+_register("cells_shell", lambda s, d: P.with_cells(source(s, d, "lattice"), [0.5, 1.0, 2.0, 3.0]).groupBy("shell_id").agg(F.count("*").alias("n")), f"WITH p AS ({BASES['lattice']}) SELECT least((r >= 0.5)::INT + (r >= 1.0)::INT + (r >= 2.0)::INT + (r >= 3.0)::INT, 3)::BIGINT AS shell_id, count(*) AS n FROM p GROUP BY 1")
+_register("cells_sector", lambda s, d: P.with_cells(source(s, d, "lattice"), [1.0]).groupBy("sector_id").agg(F.count("*").alias("n")), f"WITH p AS ({BASES['lattice']}) SELECT (least(floor(theta / {2 * math.pi!r} * 12), 11) * 6 + least(floor(phi / {math.pi!r} * 6), 5))::BIGINT AS sector_id, count(*) AS n FROM p GROUP BY 1")
+
+_register("knn_point", lambda s, d: N.nearest(source(s, d, "axis"), TARGET, 10).select("ordinal", "category", "distance"), _sql("axis", f"SELECT ordinal, category, {S.angular(U, T1)} AS distance FROM p ORDER BY {S.cosine_proxy(U, T1)}, ordinal LIMIT 10", ["distance"], ["ordinal", "category"]))
+_register("knn_lattice", lambda s, d: N.nearest(source(s, d, "lattice"), OTHER, 25, 0.2).select("ordinal", "distance"), _sql("lattice", f"SELECT * FROM (SELECT ordinal, {S.angular(U, T2)} AS distance FROM p ORDER BY {S.cosine_proxy(U, T2)}, ordinal LIMIT 25) WHERE distance <= 0.2", ["distance"], ["ordinal"]))
+_register("within_distance", lambda s, d: N.within(source(s, d, "lattice"), TARGET, 0.31).select("ordinal", "distance"), _sql("lattice", f"SELECT ordinal, {S.angular(U, T1)} AS distance FROM p WHERE {S.angular(U, T1)} <= 0.31", ["distance"], ["ordinal"]))
+_register("similar_above", lambda s, d: N.within(source(s, d, "random"), OTHER, math.acos(0.83)).select("ordinal", "distance"), _sql("random", f"SELECT ordinal, {S.angular(U, T2)} AS distance FROM p WHERE {S.angular(U, T2)} <= {math.acos(0.83)!r}", ["distance"], ["ordinal"]))
+_PAIRS = "SELECT a.item_id AS query_id, b.item_id, b.ordinal, {d} AS distance, row_number() OVER (PARTITION BY a.item_id ORDER BY {x}, b.ordinal) AS rank FROM p a JOIN p b ON {on}".format(
+    d=S.angular(S.vec("b.u"), S.vec("a.u")), x=S.cosine_proxy(S.vec("b.u"), S.vec("a.u")), on="{on}"
+)
+_register("knn_batch", lambda s, d: N.batch_nearest(source(s, d, "axis"), source(s, d, "axis"), 5).select("query_id", "item_id", "distance", "rank"), _sql("axis", f"SELECT query_id, item_id, distance, rank FROM ({_PAIRS.format(on='true')}) WHERE rank <= 5", ["distance"], ["query_id", "item_id", "rank"]))
+_EDGES = f"SELECT least(i, j) AS src, greatest(i, j) AS dst, min(distance) AS distance FROM (SELECT a.ordinal AS i, b.ordinal AS j, {S.angular(S.vec('b.u'), S.vec('a.u'))} AS distance, row_number() OVER (PARTITION BY a.ordinal ORDER BY {S.cosine_proxy(S.vec('b.u'), S.vec('a.u'))}, b.ordinal) AS rank FROM p a JOIN p b ON a.ordinal <> b.ordinal) WHERE rank <= {{k}} GROUP BY 1, 2"
+_register("knn_graph", lambda s, d: N.neighbour_edges(source(s, d, "axis"), 6), _sql("axis", _EDGES.format(k=6), ["distance"], ["src", "dst"]))
+
+_register("cosine_similarity", lambda s, d: (lambda e: e.select("vec_id", V.cosine("embedding", V.constant([1.0] * 32 + [-0.5] * 32)).alias("similarity")))(s.read.parquet(f"{d}/embeddings.parquet")), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(["1.0::DOUBLE"] * 32 + ["-0.5::DOUBLE"] * 32) + "]), 6) + 0.0 AS similarity FROM embeddings")
+_QUERY = [math.sin(i + 1.0) for i in range(64)]
+_QSQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _QUERY) + "]"
+_register("store_search", lambda s, d: N.cosine_top(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), _QUERY, 20, "embedding").select("id", "score"), f"SELECT id, round(score, 6) + 0.0 AS score FROM (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_QSQL}) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20)")
+_register("hybrid_search", lambda s, d: (lambda p: VS.hybrid_search(p, p, TARGET, _QUERY, 5, 40).select("item_id", "score"))(source(s, d, "random")), _sql("random", f"SELECT item_id, list_cosine_similarity(embedding, {_QSQL}) AS score FROM (SELECT * FROM p ORDER BY {S.cosine_proxy(U, T1)}, ordinal LIMIT 40) ORDER BY score DESC, ordinal LIMIT 5", ["score"], ["item_id"]))
+_register("store_page", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").offset(40).limit(25).select("vec_id", "label"), "SELECT vec_id, label::BIGINT AS label FROM embeddings ORDER BY vec_id LIMIT 25 OFFSET 40")
+
+# The category layer over the random projection.
+
+_M = P.matrix(64)
+_axes = ", ".join(f"list_dot_product([{', '.join(f'{v!r}::DOUBLE' for v in _M[i].tolist())}], unit) AS {c}" for i, c in enumerate("xyz"))
+CATS = f"""
+e AS (SELECT category, i, avg(embedding[i]) AS v FROM p, range(1, 65) t(i) GROUP BY 1, 2),
+m AS (SELECT category, min(ordinal) AS first, count(*) AS members FROM p GROUP BY 1),
+c0 AS (SELECT category, first, members, list(v ORDER BY i) AS centroid FROM e JOIN m USING (category) GROUP BY 1, 2, 3),
+c1 AS (SELECT *, list_transform(centroid, lambda v: v / sqrt(list_dot_product(centroid, centroid))) AS unit FROM c0),
+c2 AS (SELECT *, {_axes} FROM c1),
+c3 AS (SELECT row_number() OVER (ORDER BY first) - 1 AS cat_id, category, members, centroid, x / sqrt(x * x + y * y + z * z) AS cx, y / sqrt(x * x + y * y + z * z) AS cy, z / sqrt(x * x + y * y + z * z) AS cz FROM c2),
+s AS (SELECT c3.category, avg({S.angular(U, S.vec("c"))}) AS spread FROM p JOIN c3 USING (category) GROUP BY 1),
+cats AS (SELECT c3.*, CASE WHEN members > 1 THEN spread ELSE 0.0 END AS spread FROM c3 JOIN s USING (category))"""
+BRIDGES = """
+b0 AS (SELECT p.ordinal, o.cat_id AS source, t.cat_id AS target, list_cosine_similarity(p.embedding, o.centroid) AS affinity_source, list_cosine_similarity(p.embedding, t.centroid) AS affinity_target
+  FROM p JOIN cats o USING (category) JOIN cats t ON t.cat_id <> o.cat_id),
+b1 AS (SELECT *, 2 * affinity_source * affinity_target / (affinity_source + affinity_target) AS strength FROM b0 WHERE affinity_target > 0 AND affinity_target > affinity_source * 0.83 AND affinity_source + affinity_target > 2.220446049250313e-16
+  UNION ALL SELECT *, 0.0 FROM b0 WHERE affinity_target > 0 AND affinity_target > affinity_source * 0.83 AND affinity_source + affinity_target <= 2.220446049250313e-16),
+md AS (SELECT strength AS median FROM (SELECT strength, row_number() OVER (ORDER BY strength) AS k, count(*) OVER () AS n FROM b1) WHERE k = n // 2 + 1),
+bridges AS (SELECT b1.*, CASE WHEN strength >= median THEN 'genuine' ELSE 'weak' END AS kind FROM b1, md)"""
+EDGES = f"""
+edges AS (SELECT a.cat_id AS src, b.cat_id AS dst, {S.angular(S.vec("a.c"), S.vec("b.c"))} AS centroid_distance, coalesce(n, 0) AS bridge_count, coalesce(hi, 0.0) AS max_strength, coalesce(mid, 0.0) AS mean_strength,
+  {S.angular(S.vec("a.c"), S.vec("b.c"))} / (1 + coalesce(n, 0) * coalesce(mid, 0.0)) AS weight
+  FROM cats a JOIN cats b ON a.cat_id <> b.cat_id LEFT JOIN (SELECT source, target, count(*) AS n, max(strength) AS hi, avg(strength) AS mid FROM bridges GROUP BY 1, 2) x ON x.source = a.cat_id AND x.target = b.cat_id)"""
+
+
+def _layer(body: str, doubles: list[str], others: list[str]) -> str:
+    columns = [f"{c} AS {c}" for c in others] + [f"round({c}, 6) + 0.0 AS {c}" for c in doubles]
+    return f"WITH RECURSIVE p AS ({BASES['random']}), {CATS}, {BRIDGES}, {EDGES} SELECT {', '.join(columns)} FROM ({body}) AS q"
+
+
+def _rows_cats(s, d):
+    rows = source(s, d, "random")
+    return rows, C.summaries(rows)
+
+
+def _found(s, d):
+    rows, cats = _rows_cats(s, d)
+    return rows, cats, C.bridges(rows, cats, 0.83)
+
+
+def _graph(s, d):
+    _, cats, found = _found(s, d)
+    return C.edges(cats, found)
+
+
+_register("category_summary", lambda s, d: _rows_cats(s, d)[1].select("cat_id", "category", "members", "cx", "cy", "cz", "spread", "cohesion"), _layer("SELECT *, 1 / (1 + spread) AS cohesion FROM cats", ["cx", "cy", "cz", "spread", "cohesion"], ["cat_id", "category", "members"]))
+_register("bridges", lambda s, d: _found(s, d)[2].select("ordinal", "source", "target", "affinity_source", "affinity_target", "strength", "kind"), _layer("SELECT * FROM bridges", ["affinity_source", "affinity_target", "strength"], ["ordinal", "source", "target", "kind"]))
+_register("bridge_median", lambda s, d: C.upper_median(_found(s, d)[2], "strength"), _layer("SELECT median FROM md", ["median"], []))
+_register("bridge_items", lambda s, d: _found(s, d)[2].filter("source = 0 and target = 1").orderBy(F.desc("strength"), "ordinal").limit(10).select("ordinal", "strength"), _layer("SELECT ordinal, strength FROM bridges WHERE source = 0 AND target = 1 ORDER BY strength DESC, ordinal LIMIT 10", ["strength"], ["ordinal"]))
+_register("category_edges", _graph, _layer("SELECT * FROM edges", ["centroid_distance", "max_strength", "mean_strength", "weight"], ["src", "dst", "bridge_count"]))
+_register("bridge_quality", lambda s, d: _graph(s, d).groupBy("src").agg(F.avg("mean_strength").alias("quality")), _layer("SELECT src, avg(mean_strength) AS quality FROM edges GROUP BY 1", ["quality"], ["src"]))
+_register("category_neighbors", lambda s, d: C.neighbours_of(_graph(s, d), 0, 4).select("dst", "weight"), _layer("SELECT dst, weight FROM edges WHERE src = 0 ORDER BY weight, dst LIMIT 4", ["weight"], ["dst"]))
+_register("category_path", lambda s, d: C.category_path(_graph(s, d), 0, 7).select("step", "cat_id", "cumulative"), _layer(
+    "SELECT unnest(range(len(path))) AS step, unnest(path) AS cat_id, unnest(sums) AS cumulative FROM (SELECT path, sums FROM (WITH RECURSIVE w AS (SELECT [0::BIGINT] AS path, [0.0::DOUBLE] AS sums UNION ALL SELECT list_append(path, dst), list_append(sums, sums[-1] + weight) FROM w JOIN edges ON src = path[-1] WHERE len(path) < 4 AND path[-1] <> 7 AND NOT list_contains(path, dst)) SELECT * FROM w WHERE path[-1] = 7) ORDER BY sums[-1] LIMIT 1)",
+    ["cumulative"], ["step", "cat_id"]))
+_register("drill_down", lambda s, d: C.drill_down(source(s, d, "random"), "c3", TARGET, 8).select("ordinal", "distance"), _sql("random", f"SELECT ordinal, {S.angular(U, T1)} AS distance FROM p WHERE category = 'c3' ORDER BY distance, ordinal LIMIT 8", ["distance"], ["ordinal"]))
+_register("categories_near", lambda s, d: C.near_direction(_rows_cats(s, d)[1], TARGET, 1.6).select("cat_id", "distance"), _layer(f"SELECT cat_id, {S.angular(S.vec('c'), T1)} AS distance FROM cats WHERE {S.angular(S.vec('c'), T1)} <= 1.6", ["distance"], ["cat_id"]))
+_register("route_to_category", lambda s, d: C.near_direction(_rows_cats(s, d)[1], TARGET, 4.0).limit(1).select("cat_id"), _layer(f"SELECT cat_id FROM cats ORDER BY {S.angular(S.vec('c'), T1)}, cat_id LIMIT 1", [], ["cat_id"]))
+
+# Analytics over the category caps.
+
+_caps = lambda s, d: _rows_cats(s, d)[1]
+_OVER = f"SELECT a, b, distance, {S.cap_overlap('distance', 'sa', 'sb')} AS area FROM (SELECT a.cat_id AS a, b.cat_id AS b, a.spread AS sa, b.spread AS sb, {S.angular(S.vec('a.c'), S.vec('b.c'))} AS distance FROM cats a JOIN cats b ON a.cat_id < b.cat_id)"
+_OVER = f"SELECT * FROM ({_OVER}) WHERE area > 1e-15"
+_TRI = f"SELECT a, b, c, {S.excess('ab', 'bc', 'ca')} AS excess FROM (SELECT x.cat_id AS a, y.cat_id AS b, z.cat_id AS c, {S.angular(S.vec('x.c'), S.vec('y.c'))} AS ab, {S.angular(S.vec('y.c'), S.vec('z.c'))} AS bc, {S.angular(S.vec('z.c'), S.vec('x.c'))} AS ca FROM cats x JOIN cats y ON x.cat_id < y.cat_id JOIN cats z ON y.cat_id < z.cat_id)"
+_register("cap_areas", lambda s, d: A.cap_areas(_caps(s, d)).select("cat_id", "area"), _layer(f"SELECT cat_id, {S.cap_area('spread')} AS area FROM cats", ["area"], ["cat_id"]))
+_register("cap_overlaps", lambda s, d: A.overlaps(_caps(s, d)), _layer(_OVER, ["distance", "area"], ["a", "b"]))
+_register("overlap_bridges", lambda s, d: (lambda x: A.overlap_bridges(x[1], x[2]).filter("bridges > 0"))(_found(s, d)), _layer(f"SELECT o.*, n AS bridges, area / n AS ratio FROM ({_OVER}) o JOIN (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM bridges GROUP BY 1, 2) USING (a, b)", ["distance", "area", "ratio"], ["a", "b", "bridges"]))
+_register("curvature_triples", lambda s, d: A.triples(_caps(s, d)), _layer(_TRI, ["excess"], ["a", "b", "c"]))
+_register("curvature_signature", lambda s, d: A.curvature(_caps(s, d)), _layer(f"SELECT cat_id, count(*) AS triangles, avg(excess) AS mean, min(excess) AS least, max(excess) AS largest FROM (SELECT unnest([a, b, c]) AS cat_id, excess FROM ({_TRI})) GROUP BY 1", ["mean", "least", "largest"], ["cat_id", "triangles"]))
+_register("antipodal", lambda s, d: (lambda x: A.antipodal(x[0], x[1], 0.6))(_rows_cats(s, d)), _layer(
+    f"SELECT cat_id, coalesce(items, 0)::BIGINT AS items, dominant, coalesce(items, 0) / ((SELECT count(*) FROM p) * {(1 - math.cos(0.6)) / 2!r}) AS coherence FROM cats LEFT JOIN (SELECT cat_id, sum(n) AS items, arg_min(category, (-n, category)) AS dominant FROM (SELECT c.cat_id, p.category, count(*) AS n FROM p JOIN cats c ON {S.angular(U, ('-c.cx', '-c.cy', '-c.cz'))} <= 0.6 GROUP BY 1, 2) GROUP BY 1) USING (cat_id)",
+    ["coherence"], ["cat_id", "items", "dominant"]))
+_register("geodesic_sweep", lambda s, d: A.sweep(source(s, d, "lattice"), TARGET, OTHER, 0.05).select("ordinal", "distance"), _sql("lattice", f"SELECT ordinal, {S.arc_distance(U, TARGET, OTHER)} AS distance FROM p WHERE {S.arc_distance(U, TARGET, OTHER)} <= 0.05", ["distance"], ["ordinal"]))
+_PROFILE = " UNION ALL ".join(f"SELECT {i} AS place, count(*) FILTER ({S.angular(U, S.literal(v))} <= 0.2) AS points FROM p" for i, v in enumerate(A.arc_samples(TARGET, OTHER, 8)))
+_register("geodesic_profile", lambda s, d: A.density_profile(source(s, d, "lattice"), TARGET, OTHER, 8, 0.2), _sql("lattice", _PROFILE, [], ["place::BIGINT", "points"]).replace("place::BIGINT AS place::BIGINT", "place::BIGINT AS place"))
+_register("void_distance", lambda s, d: (lambda x: A.void_distance(x[0], x[1]))(_rows_cats(s, d)), _layer(f"SELECT ordinal, min({S.angular(U, S.vec('c'))} - spread) AS void_distance FROM p CROSS JOIN (SELECT cx, cy, cz, spread FROM cats) GROUP BY 1", ["void_distance"], ["ordinal"]))
+_register("lune_sides", lambda s, d: (lambda x: A.lunes(x[2], x[0], x[1]))(_found(s, d)), _layer(
+    f"SELECT a, b, closer_to_a, closer_to_b, on_bisector, CASE WHEN closer_to_a + closer_to_b > 0 THEN abs(closer_to_a - closer_to_b) / (closer_to_a + closer_to_b) ELSE 0.0 END AS asymmetry FROM (SELECT a, b, count(*) FILTER (side = 'closer_to_a') AS closer_to_a, count(*) FILTER (side = 'closer_to_b') AS closer_to_b, count(*) FILTER (side = 'on_bisector') AS on_bisector FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, {S.lune_side(S.vec('p.u'), S.vec('x.c'), S.vec('y.c'))} AS side FROM bridges JOIN p USING (ordinal) JOIN cats x ON x.cat_id = least(source, target) JOIN cats y ON y.cat_id = greatest(source, target)) GROUP BY 1, 2)",
+    ["asymmetry"], ["a", "b", "closer_to_a", "closer_to_b", "on_bisector"]))
+_MC = 20_000
+_HITS = f"(SELECT sample, cat_id, ux * cx + uy * cy + uz * cz AS dot, ux * cx + uy * cy + uz * cz >= cos(spread) AS inside FROM (SELECT i AS sample, sqrt(greatest(0.0, 1 - zz * zz)) * cos(i * {P.GOLDEN!r}) AS ux, sqrt(greatest(0.0, 1 - zz * zz)) * sin(i * {P.GOLDEN!r}) AS uy, zz AS uz FROM (SELECT i, 1.0::DOUBLE - (i * 2 + 1) / {_MC}.0::DOUBLE AS zz FROM range({_MC}) t(i))) CROSS JOIN (SELECT cat_id, cx, cy, cz, spread FROM cats))"
+_register("mc_coverage", lambda s, d: A.coverage(_caps(s, d), _MC), _layer(f"SELECT avg((h > 0)::INT) AS coverage, avg((h > 1)::INT) AS overlap, count(*) FILTER (h = 0) AS void_samples, count(*) AS samples FROM (SELECT sample, sum(inside::INT) AS h FROM {_HITS} GROUP BY 1)", ["coverage", "overlap"], ["void_samples", "samples"]))
+_register("mc_exclusivity", lambda s, d: A.exclusivity(_caps(s, d), _MC), _layer(f"SELECT cat_id, coalesce(e, 1.0) AS exclusivity FROM cats LEFT JOIN (SELECT cat_id, avg((h = 1)::INT) AS e FROM (SELECT cat_id, count(*) OVER (PARTITION BY sample) AS h FROM {_HITS} WHERE inside) GROUP BY 1) USING (cat_id)", ["exclusivity"], ["cat_id"]))
+_register("mc_voronoi", lambda s, d: A.voronoi(_caps(s, d), _MC).select("cat_id", "area"), _layer(f"SELECT cat_id, coalesce(n, 0) * {4 * math.pi / _MC!r} AS area FROM cats LEFT JOIN (SELECT i AS cat_id, count(*) AS n FROM (SELECT sample, arg_min(cat_id, (-dot, cat_id)) AS i FROM {_HITS} GROUP BY 1) GROUP BY 1) USING (cat_id)", ["area"], ["cat_id"]))
+
+# Layouts, quality, features, feedback, streams.
+
+_ORDERED = "SELECT ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS place FROM p"
+_register("layout_uniform", lambda s, d: (lambda t: K.uniform_layout(t.withColumnRenamed("c_custkey", "place"), 20_000).select("place", "theta", "phi"))(s.read.parquet(f"{d}/customer.parquet").select("c_custkey")), f"SELECT c_custkey AS place, round({S.wrap(f'c_custkey::DOUBLE * {P.GOLDEN!r}::DOUBLE')}, 6) + 0.0 AS theta, round(acos(1 - 2 * (c_custkey + 0.5::DOUBLE) / 20000), 6) + 0.0 AS phi FROM customer")
+_register("layout_quality", lambda s, d: K.layout_quality(source(s, d, "axis"), 0.05), _sql("axis", f"SELECT min(d) / sqrt({4 * math.pi!r} / (SELECT count(*) FROM p)) AS dispersion, count(*) FILTER (d < 0.05) AS overlaps FROM (SELECT {S.angular(S.vec('a.u'), S.vec('b.u'))} AS d FROM p a JOIN p b ON a.ordinal < b.ordinal)", ["dispersion"], ["overlaps"]))
+_register("modularity", lambda s, d: T.modularity(source(s, d, "axis"), 6), _sql("axis", f"SELECT greatest(0.0, least(1.0, sum(coalesce(inside, 0) / m - (degree / (2 * m)) ** 2))) AS modularity FROM (SELECT category, count(*) AS degree FROM (SELECT unnest([x.category, y.category]) AS category FROM ({_EDGES.format(k=6)}) JOIN p x ON x.ordinal = src JOIN p y ON y.ordinal = dst) GROUP BY 1) LEFT JOIN (SELECT x.category, count(*) AS inside FROM ({_EDGES.format(k=6)}) JOIN p x ON x.ordinal = src JOIN p y ON y.ordinal = dst AND x.category = y.category GROUP BY 1) USING (category), (SELECT count(*) AS m FROM ({_EDGES.format(k=6)}))", ["modularity"], []))
+_register("silhouette", lambda s, d: T.category_silhouette(source(s, d, "axis")), _sql("axis", "SELECT (avg(CASE WHEN greatest(a, b) > 1e-15 THEN (b - a) / greatest(a, b) ELSE 0.0 END) + 1) / 2 AS silhouette FROM (SELECT i, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM (SELECT a.ordinal AS i, b.category, a.category = b.category AS own, avg(1 - (a.ux * b.ux + a.uy * b.uy + a.uz * b.uz)) AS d FROM p a JOIN p b ON a.ordinal <> b.ordinal GROUP BY 1, 2, 3) GROUP BY 1)", ["silhouette"], []))
+_register("jaccard_graph", lambda s, d: N.jaccard_edges(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("ordinal"), V.doubles("embedding").alias("embedding")), 0.15, 5), "WITH a AS (SELECT vec_id AS i, list_filter(range(1, 65), lambda k: abs(embedding[k]::DOUBLE) > 0.15) AS s FROM embeddings), x AS (SELECT i, unnest(s) AS k FROM a), o AS (SELECT l.i, r.i AS j, count(*) AS n FROM x l JOIN x r ON l.k = r.k AND l.i <> r.i GROUP BY 1, 2), q AS (SELECT o.i, j, n / (len(u.s) + len(v.s) - n) AS similarity FROM o JOIN a u ON u.i = o.i JOIN a v ON v.i = j) SELECT i, j, round(similarity, 6) + 0.0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j DESC) AS k FROM q) WHERE k <= 5")
+_register("corpus_features", lambda s, d: T.corpus_features(source(s, d, "random")).select("n_items", "n_categories", "mean_members", "largest", "smallest", "category_entropy", "sparsity", "intra_cosine", "inter_cosine"), _sql("random", "SELECT *, n_items / n_categories AS mean_members, h / ln(n_categories) AS category_entropy FROM (SELECT sum(n)::BIGINT AS n_items, count(*) AS n_categories, max(n) AS largest, min(n) AS smallest, sum(-(n / t) * ln(n / t)) AS h FROM (SELECT category, count(*) AS n, sum(count(*)) OVER () AS t FROM p GROUP BY 1)), (SELECT avg(len(list_filter(embedding, lambda v: abs(v) <= 0.05)) / len(embedding)) AS sparsity FROM p), (SELECT avg(list_cosine_similarity(a.embedding, b.embedding)) FILTER (a.category = b.category) AS intra_cosine, avg(list_cosine_similarity(a.embedding, b.embedding)) FILTER (a.category <> b.category) AS inter_cosine FROM p a JOIN p b ON a.ordinal < b.ordinal)", ["mean_members", "category_entropy", "sparsity", "intra_cosine", "inter_cosine"], ["n_items", "n_categories", "largest", "smallest"]))
+_register("feedback_summary", lambda s, d: T.feedback_summary(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("corpus_id"), (F.col("value") / 100).alias("score"))), "SELECT user_id AS corpus_id, count(*) AS events, round(avg(greatest(0.0, least(1.0, value / 100))), 6) + 0.0 AS mean, round(min(greatest(0.0, least(1.0, value / 100))), 6) + 0.0 AS least, round(max(greatest(0.0, least(1.0, value / 100))), 6) + 0.0 AS largest FROM events GROUP BY 1")
+_register("feedback_window", lambda s, d: T.feedback_summary(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("corpus_id"), (F.col("value") / 100).alias("score"), F.col("event_id").alias("seq")), 10).select("corpus_id", "events", "mean"), "SELECT corpus_id, count(*) AS events, round(avg(s), 6) + 0.0 AS mean FROM (SELECT user_id AS corpus_id, greatest(0.0, least(1.0, value / 100)) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 10 GROUP BY 1")
+
+_WATCHED = G.Intersection((G.Band(0.5, 2.3), G.Shell(0.2, 6.0)))
+_EV = "SELECT event_id, CASE event_type WHEN 'click' THEN 'entered' WHEN 'error' THEN 'left' ELSE 'moved' END AS event_type, value / 10 AS r, value / 100.0 * 6.0 AS theta, acos(1.0::DOUBLE - 2.0 * (user_id::DOUBLE * 0.6180339887498949::DOUBLE - floor(user_id::DOUBLE * 0.6180339887498949::DOUBLE))) AS phi FROM events"
+for _name, _kind, _f in (("stream_entered", "entered", ST.entered), ("stream_left", "left", ST.left)):
+    _register(_name, lambda s, d, f=_f: f(ST.spatial_events(s.read.parquet(f"{d}/events.parquet")), _WATCHED).select("event_id"), f"SELECT event_id FROM ({_EV}) WHERE event_type = '{_kind}' AND theta >= 0 AND theta < 6.283185307179586 AND {_WATCHED.sql()}")
+
+# Those that SQL cannot express; the tests hold them against numpy.
+
+_corpus = lambda s, d: source(s, d, "random").select("item_id", "ordinal", "category", "embedding")
+_xyz = ("ordinal", "x", "y", "z", "certainty", "proj_mag")
+_register("project_pca", lambda s, d: (lambda c: J.Pca.fit(c).transform(c).select(*_xyz))(_corpus(s, d)), None)
+_register("project_kernel_pca", lambda s, d: (lambda c: J.KernelPca.fit(c).transform(c).select(*_xyz))(_corpus(s, d)), None)
+_register("project_laplacian", lambda s, d: (lambda c: J.Laplacian.fit(c, threshold=0.15).transform(c).select(*_xyz))(_corpus(s, d)), None)
+_register("inner_spheres", lambda s, d: J.inner_models(_corpus(s, d)), None)
+_register("detect_globs", lambda s, d: K.globs(source(s, d, "axis"), max_k=4), None)
+_register("layout_clustered", lambda s, d: K.clustered_layout(source(s, d, "axis"), 5).select("ordinal", "glob", "theta", "phi"), None)
+_register("layout_force", lambda s, d: K.force_layout(source(s, d, "axis"), rounds=20), None)
+
+
+def _local_plane(s, d):
+    p = K.local_plane(source(s, d, "lattice"), TARGET, 12)
+    return s.createDataFrame([(*p["centroid"], p["variance_ratio"])], "cx double, cy double, cz double, variance_ratio double")
+
+
+def _concept_path(s, d):
+    rows = N.neighbour_edges(source(s, d, "axis"), 8).collect()
+    path = C.shortest_path([x for r in rows for x in ((r.src, r.dst, r.distance), (r.dst, r.src, r.distance))], 0, 100) or []
+    return s.createDataFrame([(i, int(v), float(h), float(t)) for i, (v, h, t) in enumerate(path)], "step int, ordinal long, hop double, cumulative double")
+
+
+def _domain_groups(s, d):
+    caps = _caps(s, d)
+    over, area = A.overlaps(caps).collect(), {r.cat_id: r.area for r in A.cap_areas(caps).collect()}
+    near = {(r.cat_id, j) for r in A.voronoi(caps, _MC).collect() for j in r.neighbours}
+    sim = {(i, j): 0.5 for i, j in near if i < j}
+    for r in over:
+        if min(area[r.a], area[r.b]) > 1e-15:
+            sim[r.a, r.b] = sim.get((r.a, r.b), 0.0) + 0.5 * min(1.0, r.area / min(area[r.a], area[r.b]))
+    return s.createDataFrame([(g, int(c)) for g, cs in enumerate(C.domain_groups(sim, len(area), 4)) for c in cs], "group_id int, cat_id int")
+
+
+_register("local_manifold", _local_plane, None)
+_register("concept_path", _concept_path, None)
+_register("domain_groups", _domain_groups, None)

@@ -80,7 +80,7 @@ def lattice_points(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("o"), "o_orderkey").alias("item_id"),
         F.col("o_orderkey").alias("ordinal"),
         F.col("o_orderpriority").alias("category"),
-        F.expr("o_totalprice / 100000.0D").alias("r"),
+        F.expr("o_totalprice / 99991.0D").alias("r"),
         F.expr(S.wrap(f"{k} * {GOLDEN!r}D")).alias("theta"),
         F.expr(f"acos(1.0D - 2.0D * {part})").alias("phi"),
     )
@@ -199,6 +199,6 @@ def random_sql(seed: int = 42, dim: int = 64) -> str:
 def lattice_sql() -> str:
     k = "o_orderkey::DOUBLE"
     part = f"({k} * {PHI!r}::DOUBLE - floor({k} * {PHI!r}::DOUBLE))"
-    sph = f"SELECT 'o' || o_orderkey AS item_id, o_orderkey AS ordinal, o_orderpriority AS category, o_totalprice / 100000.0::DOUBLE AS r, {S.wrap(f'{k} * {GOLDEN!r}::DOUBLE')} AS theta, acos(1.0::DOUBLE - 2.0::DOUBLE * {part}) AS phi FROM orders"
+    sph = f"SELECT 'o' || o_orderkey AS item_id, o_orderkey AS ordinal, o_orderpriority AS category, o_totalprice / 99991.0::DOUBLE AS r, {S.wrap(f'{k} * {GOLDEN!r}::DOUBLE')} AS theta, acos(1.0::DOUBLE - 2.0::DOUBLE * {part}) AS phi FROM orders"
     ux, uy, uz = S.direction("theta", "phi")
     return f"SELECT *, r * ux AS x, r * uy AS y, r * uz AS z FROM (SELECT *, {ux} AS ux, {uy} AS uy, {uz} AS uz FROM ({sph}))"

@@ -179,11 +179,11 @@ def arc_distance(p: Vec, a, b) -> str:
         return angular(p, la)
     ln = literal([x / size for x in n])
     s = dot(p, ln)
-    foot = tuple(f"(({x}) - {s} * {y})" for x, y in zip(p, ln, strict=True))
-    f = norm(foot)
+    # The foot of the perpendicular is p - s n; n is at right angles to both ends.
+    f = f"sqrt(greatest(0.0, 1.0 - {s} * {s}))"
     ends = f"least({angular(p, la)}, {angular(p, lb)})"
     edge = num(sum(x * y for x, y in zip(a, b, strict=True)) - 1e-10)
-    on = f"{dot(foot, la)} / {f} >= {edge} AND {dot(foot, lb)} / {f} >= {edge}"
+    on = f"{dot(p, la)} / {f} >= {edge} AND {dot(p, lb)} / {f} >= {edge}"
     return f"(CASE WHEN {f} < 1e-15 THEN {ends} WHEN {on} THEN abs({num(math.pi / 2)} - acos(least(1.0, abs({s})))) ELSE {ends} END)"
 
 

@@ -108,19 +108,23 @@ def near_direction(cats: DataFrame, target, max_angle: float) -> DataFrame:
 
 
 def shortest_path(edge_rows: list[tuple], start, goal) -> list[tuple] | None:
-    """Dijkstra over ``(src, dst, weight)``: ``(node, hop, cumulative)`` or ``None``."""
+    """Dijkstra over ``(src, dst, weight)``: ``(node, hop, cumulative)`` or ``None``.
+
+    A node is settled once, so weights below 0 end no worse than out of order.
+    """
     near: dict = {}
     for a, b, w in edge_rows:
         near.setdefault(a, []).append((b, w))
-    best, heap, before = {start: 0.0}, [(0.0, start)], {}
+    best, heap, before, closed = {start: 0.0}, [(0.0, start)], {}, set()
     while heap:
         d, v = heapq.heappop(heap)
-        if d > best[v]:
+        if v in closed:
             continue
+        closed.add(v)
         if v == goal:
             break
         for u, w in near.get(v, ()):
-            if d + w < best.get(u, float("inf")):
+            if u not in closed and d + w < best.get(u, float("inf")):
                 best[u], before[u] = d + w, v
                 heapq.heappush(heap, (d + w, u))
     if goal not in best:
@@ -137,12 +141,13 @@ def category_path(graph: DataFrame, source: int, target: int) -> DataFrame:
     """``step, cat_id, hop, cumulative, confidence`` along the cheapest route.
 
     A hop's confidence is 1.2 times its strongest bridge, at most 1; the path's is
-    the product, each factor at least 0.01.
+    the product, each factor at least 0.01.  Weights below 0, which bridges of
+    opposed affinities can make, count as 0.
     """
     spark = graph.sparkSession
     schema = "step int, cat_id int, hop double, cumulative double, confidence double"
     rows = graph.select("src", "dst", "weight", "max_strength").collect()  # categories squared
-    path = shortest_path([(r.src, r.dst, r.weight) for r in rows], source, target) if source != target else [(source, 0.0, 0.0)]
+    path = shortest_path([(r.src, r.dst, max(r.weight, 0.0)) for r in rows], source, target) if source != target else [(source, 0.0, 0.0)]
     if path is None:
         return spark.createDataFrame([], schema)
     strong, confidence, out = {(r.src, r.dst): r.max_strength for r in rows}, 1.0, []

@@ -148,23 +148,23 @@ _register("store_page", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").o
 _M = P.matrix(64)
 _axes = ", ".join(f"list_dot_product([{', '.join(f'{v!r}::DOUBLE' for v in _M[i].tolist())}], unit) AS {c}" for i, c in enumerate("xyz"))
 CATS = f"""
-e AS (SELECT category, i, avg(embedding[i]) AS v FROM p, range(1, 65) t(i) GROUP BY 1, 2),
-m AS (SELECT category, min(ordinal) AS first, count(*) AS members FROM p GROUP BY 1),
-c0 AS (SELECT category, first, members, list(v ORDER BY i) AS centroid FROM e JOIN m USING (category) GROUP BY 1, 2, 3),
+e AS MATERIALIZED (SELECT category, i, avg(embedding[i]) AS v FROM p, range(1, 65) t(i) GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT category, min(ordinal) AS first, count(*) AS members FROM p GROUP BY 1),
+c0 AS MATERIALIZED (SELECT category, first, members, list(v ORDER BY i) AS centroid FROM e JOIN m USING (category) GROUP BY 1, 2, 3),
 c1 AS (SELECT *, list_transform(centroid, lambda v: v / sqrt(list_dot_product(centroid, centroid))) AS unit FROM c0),
 c2 AS (SELECT *, {_axes} FROM c1),
-c3 AS (SELECT row_number() OVER (ORDER BY first) - 1 AS cat_id, category, members, centroid, x / sqrt(x * x + y * y + z * z) AS cx, y / sqrt(x * x + y * y + z * z) AS cy, z / sqrt(x * x + y * y + z * z) AS cz FROM c2),
+c3 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) - 1 AS cat_id, category, members, centroid, x / sqrt(x * x + y * y + z * z) AS cx, y / sqrt(x * x + y * y + z * z) AS cy, z / sqrt(x * x + y * y + z * z) AS cz FROM c2),
 s AS (SELECT c3.category, avg({S.angular(U, S.vec("c"))}) AS spread FROM p JOIN c3 USING (category) GROUP BY 1),
-cats AS (SELECT c3.*, CASE WHEN members > 1 THEN spread ELSE 0.0 END AS spread FROM c3 JOIN s USING (category))"""
+cats AS MATERIALIZED (SELECT c3.*, CASE WHEN members > 1 THEN spread ELSE 0.0 END AS spread FROM c3 JOIN s USING (category))"""
 BRIDGES = """
 b0 AS (SELECT p.ordinal, o.cat_id AS source, t.cat_id AS target, list_cosine_similarity(p.embedding, o.centroid) AS affinity_source, list_cosine_similarity(p.embedding, t.centroid) AS affinity_target
   FROM p JOIN cats o USING (category) JOIN cats t ON t.cat_id <> o.cat_id),
-b1 AS (SELECT *, 2 * affinity_source * affinity_target / (affinity_source + affinity_target) AS strength FROM b0 WHERE affinity_target > 0 AND affinity_target > affinity_source * 0.83 AND affinity_source + affinity_target > 2.220446049250313e-16
+b1 AS MATERIALIZED (SELECT *, 2 * affinity_source * affinity_target / (affinity_source + affinity_target) AS strength FROM b0 WHERE affinity_target > 0 AND affinity_target > affinity_source * 0.83 AND affinity_source + affinity_target > 2.220446049250313e-16
   UNION ALL SELECT *, 0.0 FROM b0 WHERE affinity_target > 0 AND affinity_target > affinity_source * 0.83 AND affinity_source + affinity_target <= 2.220446049250313e-16),
 md AS (SELECT strength AS median FROM (SELECT strength, row_number() OVER (ORDER BY strength) AS k, count(*) OVER () AS n FROM b1) WHERE k = n // 2 + 1),
-bridges AS (SELECT b1.*, CASE WHEN strength >= median THEN 'genuine' ELSE 'weak' END AS kind FROM b1, md)"""
+bridges AS MATERIALIZED (SELECT b1.*, CASE WHEN strength >= median THEN 'genuine' ELSE 'weak' END AS kind FROM b1, md)"""
 EDGES = f"""
-edges AS (SELECT a.cat_id AS src, b.cat_id AS dst, {S.angular(S.vec("a.c"), S.vec("b.c"))} AS centroid_distance, coalesce(n, 0) AS bridge_count, coalesce(hi, 0.0) AS max_strength, coalesce(mid, 0.0) AS mean_strength,
+edges AS MATERIALIZED (SELECT a.cat_id AS src, b.cat_id AS dst, {S.angular(S.vec("a.c"), S.vec("b.c"))} AS centroid_distance, coalesce(n, 0) AS bridge_count, coalesce(hi, 0.0) AS max_strength, coalesce(mid, 0.0) AS mean_strength,
   {S.angular(S.vec("a.c"), S.vec("b.c"))} / (1 + coalesce(n, 0) * coalesce(mid, 0.0)) AS weight
   FROM cats a JOIN cats b ON a.cat_id <> b.cat_id LEFT JOIN (SELECT source, target, count(*) AS n, max(strength) AS hi, avg(strength) AS mid FROM bridges GROUP BY 1, 2) x ON x.source = a.cat_id AND x.target = b.cat_id)"""
 
@@ -196,9 +196,7 @@ _register("bridge_items", lambda s, d: _found(s, d)[2].filter("source = 0 and ta
 _register("category_edges", _graph, _layer("SELECT * FROM edges", ["centroid_distance", "max_strength", "mean_strength", "weight"], ["src", "dst", "bridge_count"]))
 _register("bridge_quality", lambda s, d: _graph(s, d).groupBy("src").agg(F.avg("mean_strength").alias("quality")), _layer("SELECT src, avg(mean_strength) AS quality FROM edges GROUP BY 1", ["quality"], ["src"]))
 _register("category_neighbors", lambda s, d: C.neighbours_of(_graph(s, d), 0, 4).select("dst", "weight"), _layer("SELECT dst, weight FROM edges WHERE src = 0 ORDER BY weight, dst LIMIT 4", ["weight"], ["dst"]))
-_register("category_path", lambda s, d: C.category_path(_graph(s, d), 0, 7).select("step", "cat_id", "cumulative"), _layer(
-    "SELECT unnest(range(len(path))) AS step, unnest(path) AS cat_id, unnest(sums) AS cumulative FROM (SELECT path, sums FROM (WITH RECURSIVE w AS (SELECT [0::BIGINT] AS path, [0.0::DOUBLE] AS sums UNION ALL SELECT list_append(path, dst), list_append(sums, sums[-1] + weight) FROM w JOIN edges ON src = path[-1] WHERE len(path) < 4 AND path[-1] <> 7 AND NOT list_contains(path, dst)) SELECT * FROM w WHERE path[-1] = 7) ORDER BY sums[-1] LIMIT 1)",
-    ["cumulative"], ["step", "cat_id"]))
+_register("category_path", lambda s, d: C.category_path(_graph(s, d), 0, 7), None)
 _register("drill_down", lambda s, d: C.drill_down(source(s, d, "random"), "c3", TARGET, 8).select("ordinal", "distance"), _sql("random", f"SELECT ordinal, {S.angular(U, T1)} AS distance FROM p WHERE category = 'c3' ORDER BY distance, ordinal LIMIT 8", ["distance"], ["ordinal"]))
 _register("categories_near", lambda s, d: C.near_direction(_rows_cats(s, d)[1], TARGET, 1.6).select("cat_id", "distance"), _layer(f"SELECT cat_id, {S.angular(S.vec('c'), T1)} AS distance FROM cats WHERE {S.angular(S.vec('c'), T1)} <= 1.6", ["distance"], ["cat_id"]))
 _register("route_to_category", lambda s, d: C.near_direction(_rows_cats(s, d)[1], TARGET, 4.0).limit(1).select("cat_id"), _layer(f"SELECT cat_id FROM cats ORDER BY {S.angular(S.vec('c'), T1)}, cat_id LIMIT 1", [], ["cat_id"]))
@@ -234,7 +232,7 @@ _register("mc_voronoi", lambda s, d: A.voronoi(_caps(s, d), _MC).select("cat_id"
 
 _ORDERED = "SELECT ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS place FROM p"
 _register("layout_uniform", lambda s, d: (lambda t: K.uniform_layout(t.withColumnRenamed("c_custkey", "place"), 20_000).select("place", "theta", "phi"))(s.read.parquet(f"{d}/customer.parquet").select("c_custkey")), f"SELECT c_custkey AS place, round({S.wrap(f'c_custkey::DOUBLE * {P.GOLDEN!r}::DOUBLE')}, 6) + 0.0 AS theta, round(acos(1 - 2 * (c_custkey + 0.5::DOUBLE) / 20000), 6) + 0.0 AS phi FROM customer")
-_register("layout_quality", lambda s, d: K.layout_quality(source(s, d, "axis"), 0.05), _sql("axis", f"SELECT min(d) / sqrt({4 * math.pi!r} / (SELECT count(*) FROM p)) AS dispersion, count(*) FILTER (d < 0.05) AS overlaps FROM (SELECT {S.angular(S.vec('a.u'), S.vec('b.u'))} AS d FROM p a JOIN p b ON a.ordinal < b.ordinal)", ["dispersion"], ["overlaps"]))
+_register("layout_quality", lambda s, d: K.layout_quality(source(s, d, "axis"), 0.05), _sql("axis", f"SELECT min(d) / sqrt({4 * math.pi!r} / (SELECT count(*) FROM p)) AS dispersion, count(*) FILTER (d < 0.05) AS close_pairs FROM (SELECT {S.angular(S.vec('a.u'), S.vec('b.u'))} AS d FROM p a JOIN p b ON a.ordinal < b.ordinal)", ["dispersion"], ["close_pairs"]))
 _register("modularity", lambda s, d: T.modularity(source(s, d, "axis"), 6), _sql("axis", f"SELECT greatest(0.0, least(1.0, sum(coalesce(inside, 0) / m - (degree / (2 * m)) ** 2))) AS modularity FROM (SELECT category, count(*) AS degree FROM (SELECT unnest([x.category, y.category]) AS category FROM ({_EDGES.format(k=6)}) JOIN p x ON x.ordinal = src JOIN p y ON y.ordinal = dst) GROUP BY 1) LEFT JOIN (SELECT x.category, count(*) AS inside FROM ({_EDGES.format(k=6)}) JOIN p x ON x.ordinal = src JOIN p y ON y.ordinal = dst AND x.category = y.category GROUP BY 1) USING (category), (SELECT count(*) AS m FROM ({_EDGES.format(k=6)}))", ["modularity"], []))
 _register("silhouette", lambda s, d: T.category_silhouette(source(s, d, "axis")), _sql("axis", "SELECT (avg(CASE WHEN greatest(a, b) > 1e-15 THEN (b - a) / greatest(a, b) ELSE 0.0 END) + 1) / 2 AS silhouette FROM (SELECT i, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM (SELECT a.ordinal AS i, b.category, a.category = b.category AS own, avg(1 - (a.ux * b.ux + a.uy * b.uy + a.uz * b.uz)) AS d FROM p a JOIN p b ON a.ordinal <> b.ordinal GROUP BY 1, 2, 3) GROUP BY 1)", ["silhouette"], []))
 _register("jaccard_graph", lambda s, d: N.jaccard_edges(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("ordinal"), V.doubles("embedding").alias("embedding")), 0.15, 5), "WITH a AS (SELECT vec_id AS i, list_filter(range(1, 65), lambda k: abs(embedding[k]::DOUBLE) > 0.15) AS s FROM embeddings), x AS (SELECT i, unnest(s) AS k FROM a), o AS (SELECT l.i, r.i AS j, count(*) AS n FROM x l JOIN x r ON l.k = r.k AND l.i <> r.i GROUP BY 1, 2), q AS (SELECT o.i, j, n / (len(u.s) + len(v.s) - n) AS similarity FROM o JOIN a u ON u.i = o.i JOIN a v ON v.i = j) SELECT i, j, round(similarity, 6) + 0.0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j DESC) AS k FROM q) WHERE k <= 5")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orrery.functions import sphere as S
 from orrery.functions import vectors as V
 
-GOLDEN, PHI = 2.399963229728653, 0.6180339887498949
+GOLDEN, ROOT = 2.399963229728653, 0.41421356237309515
 
 
 def matrix(dim: int, seed: int = 42) -> np.ndarray:
@@ -75,7 +75,7 @@ def random_points(embeddings: DataFrame, seed: int = 42, dim: int = 64, keep_emb
 def lattice_points(orders: DataFrame) -> DataFrame:
     """Orders spread over the sphere by the golden angle, their price as radius."""
     k = "CAST(o_orderkey AS DOUBLE)"
-    part = f"({k} * {PHI!r} - floor({k} * {PHI!r}))"
+    part = f"({k} * {ROOT!r} - floor({k} * {ROOT!r}))"
     rows = orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("item_id"),
         F.col("o_orderkey").alias("ordinal"),
@@ -198,7 +198,7 @@ def random_sql(seed: int = 42, dim: int = 64) -> str:
 
 def lattice_sql() -> str:
     k = "o_orderkey::DOUBLE"
-    part = f"({k} * {PHI!r}::DOUBLE - floor({k} * {PHI!r}::DOUBLE))"
+    part = f"({k} * {ROOT!r}::DOUBLE - floor({k} * {ROOT!r}::DOUBLE))"
     sph = f"SELECT 'o' || o_orderkey AS item_id, o_orderkey AS ordinal, o_orderpriority AS category, o_totalprice / 99991.0::DOUBLE AS r, {S.wrap(f'{k} * {GOLDEN!r}::DOUBLE')} AS theta, acos(1.0::DOUBLE - 2.0::DOUBLE * {part}) AS phi FROM orders"
     ux, uy, uz = S.direction("theta", "phi")
     return f"SELECT *, r * ux AS x, r * uy AS y, r * uz AS z FROM (SELECT *, {ux} AS ux, {uy} AS uy, {uz} AS uz FROM ({sph}))"

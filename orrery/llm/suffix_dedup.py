@@ -249,17 +249,18 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     those that were empty before, remain.
     """
     gone = _joined(_repeats(docs, length, k).filter("later").select("doc_id", "lo", "hi"))
-    listed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("_spans"))
-    listed = listed.select(F.col("doc_id").alias("_doc"), F.transform("_spans", lambda s: s.word_start).alias("_lo"), F.transform("_spans", lambda s: s.word_end).alias("_hi"))
-    marked = docs.join(listed, docs["doc_id"].cast("long") == listed["_doc"], "left").drop("_doc")
-    touched = marked.filter(F.col("_lo").isNotNull())
     names = docs.columns
+    id_, lo_, hi_ = (next(f"{n}{i}" for i in range(len(names) + 1) if f"{n}{i}".lower() not in {c.lower() for c in names}) for n in ("id", "lo", "hi"))
+    listed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("s"))
+    listed = listed.select(F.col("doc_id").alias(id_), F.transform("s", lambda s: s.word_start).alias(lo_), F.transform("s", lambda s: s.word_end).alias(hi_))
+    marked = docs.join(listed, docs["doc_id"].cast("long") == listed[id_], "left").drop(id_)
+    touched = marked.filter(F.col(lo_).isNotNull() & F.col("text").isNotNull())
 
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             text = table.column("text").combine_chunks()
-            lo, hi = table.column("_lo").to_pylist(), table.column("_hi").to_pylist()
+            lo, hi = table.column(lo_).to_pylist(), table.column(hi_).to_pylist()
             raw, bounds = textops.buffers(text)
             out = [None] * len(text)
             for i, j, first, _, start, _ in textops.words(text):
@@ -280,4 +281,4 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     done = done.filter(F.length(F.trim("text")) > 0)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names)
-    return marked.filter(F.col("_lo").isNull()).select(names).union(done)
+    return marked.filter(F.col(lo_).isNull() | F.col("text").isNull()).select(names).union(done)

@@ -6,14 +6,16 @@ codeword has the least logistic loss against the classifiers' margins, so a few
 wrong bits do no harm.  A text is *ambiguous* when the second best codeword is
 nearly as good.
 
-The classifiers are fitted on at most ``sample`` labelled rows, those with the
-lowest hashes of their ids, read whole; scoring reads every text whole.
+The classifiers are fitted on at most ``sample`` labelled rows, those whose hashed
+ids fall into a share of all hashes, read whole; scoring reads every text whole.
 
 Nulls, empties and ties: rows without label or text are not fitted on; a null,
 empty or letterless text gets a null language and is rejected; equal losses go to
-the language that comes first by name; a null id passes through.  With a single
-labelled language all texts with letters get it; with none, fitting raises
-``ValueError``, except that an empty table gives an empty result.
+the language that comes first by name; a null id passes through; repeated rows
+give repeated rows.  With a single labelled language all texts with letters get it.
+Without any labelled row there is no model: languages stay null (in
+``keep_identified``: as they are), all rows are ambiguous, and only texts without
+letters are rejected.  Other columns are ignored, or kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SAMPLE = 3000
 BINS = 4096
 #: Ambiguous: the gap of the two best mean losses is below this.
 GAP = 0.05
+#: Rejected: the two best are as good as equal.
+TIE = 1e-4
 STEPS, RATE = 120, 8.0
 
 _LETTER = np.zeros(256, dtype=np.uint64)
@@ -43,7 +47,7 @@ for _b in range(256):
 def features(column: pa.Array):
     """Slices ``(i, j, counts)``: hashed 1- to 3-grams of letters, words marked off."""
     raw, bounds = textops.buffers(column)
-    for i, j in textops._slices(bounds):
+    for i, j in textops.slices(bounds):
         for a in range(i, j, 256):
             b = min(a + 256, j)
             counts = np.zeros((b - a) * BINS, dtype=np.int64)
@@ -107,12 +111,15 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    rows = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
-    part = rows.orderBy("h", "t").limit(sample).select("y", "t").toArrow()
+    rows = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
+    n = rows.count()
+    if n > sample:
+        # A share of the hashes, a little below the bound; no order, nothing moves.
+        share = F.lit(int((0.95 * sample / n) * (1 << 62)))
+        rows = rows.filter(F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)) < share)
+    part = rows.select(F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("t")).limit(sample).toArrow()
     if part.num_rows == 0:
-        if docs.isEmpty():
-            return None
-        raise ValueError("no labelled rows to fit on")
+        return None
     texts = part["t"].combine_chunks()
     labels = np.array(part["y"].to_pylist(), dtype=object).astype(str)
     x = np.concatenate([_scaled(c) for _, _, c in features(texts)])
@@ -146,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None = None, gap: float = GAP, id_c
             for i, j, counts in features(batch.column(1)):
                 best, apart, blank = _decide(m, counts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([None if z else m.languages[k] for k, z in zip(best, blank, strict=True)], pa.string()), pa.array(np.where(blank, 0.0, apart)), pa.array(blank | (apart < gap)), pa.array(blank | (apart < 1e-4))],
+                    [batch.column(0).slice(i, j - i), pa.array([None if z or m is None else m.languages[k] for k, z in zip(best, blank, strict=True)], pa.string()), pa.array(np.where(blank, 0.0, apart)), pa.array(blank | (apart < gap) | (m is None)), pa.array(blank | (apart < TIE))],
                     names=["doc_id", "language", "gap", "ambiguous", "rejected"],
                 )
 
@@ -154,6 +161,8 @@ def identify(docs: DataFrame, model: Model | None = None, gap: float = GAP, id_c
 
 
 def _decide(m: Model | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if m is None:
+        return np.zeros(len(counts), np.int64), np.ones(len(counts)), counts.sum(axis=1) == 0
     loss = m.losses(counts)
     best = np.argmin(loss, axis=1)
     order = np.sort(loss, axis=1)
@@ -173,7 +182,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, **how) -> DataF
             for i, j, counts in features(batch.column(at)):
                 best, apart, blank = _decide(m, counts)
                 part = batch.slice(i, j - i)
-                columns = [pa.array([m.languages[k] for k in best], pa.string()) if c == lang else part.column(c) for c in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~(blank | (apart < 1e-4))))
+                columns = [pa.array([m.languages[k] for k in best], pa.string()) if c == lang and m else part.column(c) for c in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~(blank | (apart < TIE))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,17 +20,51 @@ lengths than buckets make as many buckets as lengths; an empty table gives none.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm import textops
+from orrery.llm.common import cut
+
 BUCKETS, BUDGET = 8, 16384
 
 
-def length_of(text: str = "text") -> Column:
-    """Words of a text: maximal runs of anything but space, tab and line ends."""
-    t = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\r\n", "   "))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " +"))).cast("int")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 13, 32]] = True
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Words of each text: maximal runs of anything but space, tab and line ends."""
+    raw, bounds = textops.buffers(column)
+    out = np.zeros(len(bounds) - 1, dtype=np.int64)
+    for i, j in textops.slices(bounds):
+        for lo in range(int(bounds[i]), int(bounds[j]), textops.SLICE_BYTES):
+            hi = min(lo + textops.SLICE_BYTES, int(bounds[j]))
+            inside = ~_SPACE[raw[lo:hi]]
+            begin = inside.copy()
+            begin[1:] &= ~inside[:-1]
+            if lo > bounds[i]:  # a long text goes on
+                begin[0] &= bool(_SPACE[raw[lo - 1]])
+            at = np.clip(bounds[i : j + 1], lo, hi) - lo
+            edge = at[:-1][at[:-1] < at[1:]]
+            if lo == bounds[i]:
+                begin[edge] = inside[edge]
+            total = np.concatenate([[0], np.cumsum(begin)])
+            out[i:j] += total[at[1:]] - total[at[:-1]]
+    return out
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens``, one row a document; a null text has no words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_counts(batch.column(1)).astype(np.int32))], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens int")
 
 
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -75,8 +109,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col:
     """
     if buckets < 1 or budget < 1:
         raise ValueError("buckets and budget must be at least 1")
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), length_of(text_col).alias("n_tokens"), h.alias("_h"))
+    # The texts are read once; all that follows reads the table of their lengths.
+    rows = cut(docs.sparkSession, lengths(docs, id_col, text_col), "lengths").withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     hist = rows.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()
     upper = bounds(hist["n_tokens"].to_numpy(np.int64), hist["count"].to_numpy(np.int64), buckets)
     edges = F.array(*[F.lit(int(x)) for x in upper]) if len(upper) else F.array(F.lit(0))

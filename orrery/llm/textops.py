@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice of vectorised work covers.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+def slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts whose bytes fill about one slice; a longer text is alone."""
     i, n = 0, len(bounds) - 1
     while i < n:
@@ -63,11 +63,11 @@ def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
-    column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
     if column.null_count:
         column = column.fill_null("")
     _, off, data = column.buffers()
-    bounds = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if off else np.zeros(1, np.int64)
+    kind = np.int64 if column.type == pa.large_string() else np.int32
+    bounds = np.frombuffer(off, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if off else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, bounds
 
@@ -121,7 +121,7 @@ def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     ``first[r-i+1]``; starts and ends are bytes counted from the row's own start.
     """
     raw, bounds = buffers(column)
-    for i, j in _slices(bounds):
+    for i, j in slices(bounds):
         lo, hi = int(bounds[i]), int(bounds[j])
         if hi - lo > SLICE_BYTES:
             h, s, e = _long_words(raw[lo:hi])

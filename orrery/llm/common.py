@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Folders made for sessions without the setting, by application.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +21,35 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
     Where the setting is absent (local mode, tests) a temporary folder is made
-    once and set.
+    once for the application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="orrery-")
     return base.rstrip("/")
 
 
+#: Rows of a side that is broadcast; a larger one is left to the planner.
+SMALL_ROWS = 100_000
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a few megabytes at a time, however long they are.
+
+    A session that has its own bound, other than Spark's default, keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, BATCH)
+
+
+def sized(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A side of a join, written once; broadcast if it has at most ``SMALL_ROWS`` rows."""
+    table = cut(spark, df, name)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import small_batches
+
 LANES = 128
 
 
@@ -56,6 +58,7 @@ def document_fingerprints(docs: DataFrame, lanes: int = LANES, id_col: str = "do
     """``doc_id, n_paragraphs, fingerprint`` (hexadecimal), one row a document."""
     if lanes < 16 or lanes % 16:
         raise ValueError("lanes must be a multiple of 16")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.common import sized
+
 SEED = "mix-1"
 CAP_SIZE = 8192
 RANGES = 1 << 16
@@ -67,7 +69,8 @@ def allot(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
 
 def pareto_sample(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", seed: str = SEED, cap_size: int = CAP_SIZE) -> DataFrame:
     """``docs`` with ``copies``, only rows with at least one."""
-    per = allot(docs, weights, total, source_col, size_col, cap_size)
+    spark = docs.sparkSession
+    per = sized(spark, allot(docs, weights, total, source_col, size_col, cap_size), "allotted")
 
     def ranked(rows: DataFrame, extra: list[str]) -> DataFrame:
         x = F.greatest(F.least(F.coalesce(F.col(size_col), F.lit(1)).cast("long"), F.lit(cap_size)), F.lit(1))
@@ -88,7 +91,7 @@ def pareto_sample(docs: DataFrame, weights: dict[str, float] | None = None, tota
     whole = counts.filter("_b is not null").groupBy("_s").agg(F.first("m").alias("m"), F.max("upto").alias("all"))
     inside = part.filter("_q is not null").withColumn("_b", key).join(last, ["_s", "_b"])
     ends = inside.withColumn("k", F.row_number().over(W.partitionBy("_s").orderBy("_q", "_id"))).filter("k = place").select("_s", F.col("_q").alias("_qc"), F.col("_id").alias("_idc"))
-    rule = whole.join(ends, "_s", "left").select("_s", "_qc", "_idc", (F.col("m") >= F.col("all")).alias("_every"))
+    rule = sized(spark, whole.join(ends, "_s", "left").select("_s", "_qc", "_idc", (F.col("m") >= F.col("all")).alias("_every")), "cuts")
     chosen = ranked(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("_row")]).join(rule, "_s", "left")
     drawn = F.when(F.col("_q").isNull(), 0).when(F.col("_every"), 1).when((F.col("_q") < F.col("_qc")) | ((F.col("_q") == F.col("_qc")) & (F.col("_id") <= F.col("_idc"))), 1).otherwise(0)
     out = chosen.withColumn("_copies", F.col("_whole") + drawn).filter("_copies > 0")

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut
+from orrery.llm.common import cut, small_batches
 
 BUCKETS, BUDGET = 8, 16384
 
@@ -58,6 +58,7 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens``, one row a document; a null text has no words."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

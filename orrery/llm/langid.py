@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
+from orrery.llm.common import small_batches
 
 #: Labelled rows that the classifiers are fitted on, at most.
 SAMPLE = 3000
 BINS = 4096
-#: Ambiguous: the gap of the two best mean losses is below this.
+#: Ambiguous: the gap of the two best mean losses is below this.  Such texts, mixed of two
+#: languages as a rule, are rejected.
 GAP = 0.05
-#: Rejected: the two best are as good as equal.
-TIE = 1e-4
 STEPS, RATE = 120, 8.0
 
 _LETTER = np.zeros(256, dtype=np.uint64)
@@ -140,10 +140,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, label_col: str = "lang", id_col:
 def identify(docs: DataFrame, model: Model | None = None, gap: float = GAP, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``doc_id, language, gap, ambiguous, rejected``, one row a document.
 
-    Rejected are texts without letters and those whose best and second best
-    codewords have, to the fourth digit, the same loss.
+    Rejected are texts without letters and, where there is a model, ambiguous ones.
     """
     model = model or fit(docs, id_col=id_col, text_col=text_col, **how)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None = None, gap: float = GAP, id_c
             for i, j, counts in features(batch.column(1)):
                 best, apart, blank = _decide(m, counts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([None if z or m is None else m.languages[k] for k, z in zip(best, blank, strict=True)], pa.string()), pa.array(np.where(blank, 0.0, apart)), pa.array(blank | (apart < gap) | (m is None)), pa.array(blank | (apart < TIE))],
+                    [batch.column(0).slice(i, j - i), pa.array([None if z or m is None else m.languages[k] for k, z in zip(best, blank, strict=True)], pa.string()), pa.array(np.where(blank, 0.0, apart)), pa.array(blank | (apart < gap) | (m is None)), pa.array(blank | (apart < gap))],
                     names=["doc_id", "language", "gap", "ambiguous", "rejected"],
                 )
 
@@ -170,8 +170,9 @@ def _decide(m: Model | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, apart, counts.sum(axis=1) == 0
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, **how) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None, gap: float = GAP, **how) -> DataFrame:
     """``docs`` without rejected texts, ``lang`` set to the language found."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -183,6 +184,6 @@ def keep_identified(docs: DataFrame, model: Model | None = None, **how) -> DataF
                 best, apart, blank = _decide(m, counts)
                 part = batch.slice(i, j - i)
                 columns = [pa.array([m.languages[k] for k in best], pa.string()) if c == lang and m else part.column(c) for c in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~(blank | (apart < TIE))))
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~(blank | (apart < gap))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -226,6 +226,19 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert not any(r.rejected for r in rows if r.language == r.lang)
 
 
+def test_a_text_of_two_languages_is_ambiguous(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit(docs)
+    part = {r.lang: r.text for r in docs.filter("n_chars between 2000 and 4000").collect()}
+    gaps = []
+    for k in range(0, 2001, 50):
+        text = part["en"][:k] + " " + part["fr"][: 2000 - k]
+        counts = next(iter(L.features(pa.array([text]))))[2]
+        gaps.append(float(L._decide(model, counts)[1][0]))
+    assert min(gaps) < 0.25 * min(gaps[0], gaps[-1])
+    assert L.identify(documents([(1, part["en"], "en", "s", 1)]), model, gap=99.0).first().rejected
+
+
 def test_a_flipped_bit_is_corrected():
     code = L.codewords(4)
     assert code.shape == (4, 7) and all((a != b).sum() == 4 for a, b in itertools.combinations(code, 2))

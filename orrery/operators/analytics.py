@@ -56,7 +56,7 @@ def antipodal(points: DataFrame, caps: DataFrame, radius: float) -> DataFrame:
     common categories the first by name counts.
     """
     n = points.count()
-    far = caps.select("cat_id", *(-F.col(f"c{c}") for c in ()), *((-F.col(f"c{c}")).alias(f"q{c}") for c in "xyz"))
+    far = caps.select("cat_id", *((-F.col(f"c{c}")).alias(f"q{c}") for c in "xyz"))
     near = points.select("category", "ux", "uy", "uz").crossJoin(far).filter(F.expr(S.angular(S.vec("u"), S.vec("q"))) <= radius)
     per = near.groupBy("cat_id", "category").agg(F.count("*").alias("c"))
     top = W.partitionBy("cat_id").orderBy(F.desc("c"), "category")

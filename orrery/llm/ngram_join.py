@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut
+from orrery.llm.common import cut, small_batches
 
 N, THRESHOLD = 3, 0.6
 #: Shared grams that two prefixes must have, unless the sets themselves are smaller.
@@ -55,6 +55,7 @@ def _bucket(g: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
@@ -376,24 +377,36 @@ def expand_copies(pairs: DataFrame) -> DataFrame:
 def groups(pairs: DataFrame) -> DataFrame:
     """``doc_id, keeper``: connected groups of the pairs, each led by its lowest id.
 
-    Labels move along the pairs and are shortened by following them; each round is
-    a written table, and the number of rounds grows with the logarithm of the
-    longest chain.
+    Each id points to the lowest among itself and its partners; pointers are
+    followed until they end, and pairs whose ends now agree are done.  What is left,
+    with ends replaced, goes through the same again.  A group of copies of one
+    another is done in the first round, however many pairs it has.
     """
     spark = pairs.sparkSession
-    edges = pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))
-    edges = cut(spark, edges.union(edges.select("v", "u")), "edges")
-    label = cut(spark, edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
+    edges = cut(spark, pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")), "edges")
+    label = None
     while True:
-        seen = edges.join(label.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("m"))
-        near = label.join(seen, "u").select("u", "l", F.least("l", "m").alias("m"))
-        hop = label.select(F.col("u").alias("m"), F.col("l").alias("h"))
-        step = cut(spark, near.join(hop, "m", "left").select("u", F.coalesce(F.least("m", "h"), "m").alias("l"), (F.coalesce(F.least("m", "h"), "m") < F.col("l")).alias("moved")), "labels")
-        label = step.select("u", "l")
-        if not step.filter("moved").take(1):
+        low = edges.select("u", "v").union(edges.select("v", "u")).toDF("u", "v").groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l"))
+        low = _followed(spark, cut(spark, low, "pointers"))
+        if label is None:
+            label = low
+        else:
+            label = cut(spark, label.join(low.toDF("l", "r"), "l", "left").select("u", F.coalesce("r", "l").alias("l")), "labels")
+        ends = edges.join(low.toDF("u", "a"), "u").join(low.toDF("v", "b"), "v").filter("a <> b")
+        edges = cut(spark, ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        if not edges.take(1):
             return label.select(F.col("u").alias("doc_id"), F.col("l").alias("keeper"))
 
 
+def _followed(spark: SparkSession, pointers: DataFrame) -> DataFrame:
+    """Pointers ``u, l`` followed to their ends, twice as far in each round."""
+    while True:
+        step = cut(spark, pointers.join(pointers.toDF("l", "m"), "l").select("u", F.col("m").alias("l"), (F.col("m") < F.col("l")).alias("moved")), "pointers")
+        pointers = step.select("u", "l")
+        if not step.filter("moved").take(1):
+            return pointers
+
+
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group: that with the lowest id.
 

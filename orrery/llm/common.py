@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,3 +68,40 @@ def release(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filters of ids.
+BITS = 1 << 25
+
+
+def ids_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of a ``doc_id``: of fixed size, whatever the corpus."""
+    bit = id_bit("doc_id")
+    rows = ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
+    return out
+
+
+def id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``gone``, a written table.
+
+    Most rows are told to stay by a bitmap of the ids, where they are read; only
+    those that it does not clear are joined, so that few texts move.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(ids_bitmap(gone))
+
+    @F.pandas_udf("boolean")
+    def listed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    hit = listed(id_bit("doc_id"))
+    ids = gone.select(F.col("doc_id").alias("_gone"))
+    unsure = docs.filter(hit)
+    return docs.filter(~hit).union(unsure.join(ids, unsure["doc_id"] == ids["_gone"], "left_anti"))

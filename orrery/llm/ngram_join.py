@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut, small_batches
+from orrery.llm.common import cut, id_bit, ids_bitmap, small_batches, without
 
 N, THRESHOLD = 3, 0.6
 #: Shared grams that two prefixes must have, unless the sets themselves are smaller.
@@ -45,8 +45,6 @@ BUCKETS = 1 << 24
 _CHUNK = 1 << 14
 #: Beyond so many members, the pairs of a block are verified in several tasks.
 BLOCK = 2048
-#: Bits of the filter through which sets of candidates are read.
-BITS = 1 << 25
 _EPS = 1e-9
 
 
@@ -287,15 +285,6 @@ def _verified(threshold: float):
     return run
 
 
-def _ids_bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id: a filter of fixed size, ``BITS`` whatever the corpus."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    rows = ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(BITS // 64, dtype=np.int64)
-    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
-    return out
-
-
 def gram_sets(docs: DataFrame, bitmap: np.ndarray, n: int = N) -> DataFrame:
     """``sig, grams`` of the documents that the bitmap names, and of a few others.
 
@@ -317,7 +306,7 @@ def gram_sets(docs: DataFrame, bitmap: np.ndarray, n: int = N) -> DataFrame:
                 six = np.ascontiguousarray((g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([six[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["sig", "grams"])
 
-    rows = _texts(docs).withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    rows = _texts(docs).withColumn("bit", id_bit("doc_id"))
     return rows.mapInArrow(run, "sig long, grams binary")
 
 
@@ -335,7 +324,7 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int = N, thres
     led = led.join(heads, "leader").select("leader", F.pmod("a", "parts").alias("p"), F.pmod("b", "parts").alias("q"), "a", "b")
     members = cut(docs.sparkSession, led.select("leader", "p", "q", "a").union(led.select("leader", "p", "q", "b")).distinct(), "members")
     wanted = reps.join(members.select(F.col("a").alias("sig")), "sig", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = gram_sets(docs, _ids_bitmap(wanted), n)
+    sets = gram_sets(docs, ids_bitmap(wanted), n)
     placed = members.join(sets, members.a == sets.sig).select("leader", "p", "q", "a", F.lit(None).cast("long").alias("b"), "grams")
     rows = placed.unionByName(led.withColumn("grams", F.lit(None).cast("binary")))
     rows = rows.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", F.col("b").asc_nulls_first())
@@ -412,5 +401,5 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
 
     Documents without a pair, without words and without an id stay as they are.
     """
-    gone = groups(ngram_jaccard_join(docs, n, threshold)).filter("doc_id <> keeper").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = groups(ngram_jaccard_join(docs, n, threshold)).filter("doc_id <> keeper").select("doc_id")
+    return without(docs, cut(docs.sparkSession, gone, "gone"))

@@ -4,6 +4,8 @@ A notice of ``n`` characters may differ by ``n // 12`` edits (one at least).  If
 does, then one of that number plus one pieces of it stands in the text unchanged:
 all pieces of all notices are sought at once by an Aho-Corasick automaton, and
 around each find the regex library looks for the best match within the bound.
+The short codes of Creative Commons licenses ("CC BY-NC 4.0") must stand exactly:
+one edit makes another license of them.  A code without a version is not sought.
 
 Texts are compared in lower case with every white space as one space; both keep
 the number of characters, so spans count the characters of the text as it is.
@@ -44,6 +46,10 @@ NOTICES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose",
     "epl-2.0": "made available under the terms of the Eclipse Public License 2.0",
 }
+#: Short codes of the Creative Commons licenses, as written in prose and in SPDX.
+_CC = {f"cc-{kind.lower()}-{v}-{form}": code for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0") for form, code in (("code", f"CC {kind} {v}"), ("spdx", f"CC-{kind}-{v}"))}
+NOTICES |= _CC
+_EXACT = {x.lower() for x in _CC.values()}
 _SPACE = re.compile(r"\s")
 
 
@@ -55,7 +61,7 @@ def normalised(text: str) -> str:
 
 
 def bound(notice: str) -> int:
-    return max(1, len(notice) // 12)
+    return 0 if notice.lower() in _EXACT else max(1, len(notice) // 12)
 
 
 def pieces(notice: str) -> list[tuple[int, str]]:

@@ -70,6 +70,26 @@ def test_scan_finds_each_of_many_in_a_long_text(documents, odd, nothing, prose):
     assert X.license_scan(odd).count() == 0 == X.license_scan(nothing).count()
 
 
+def test_every_license_line_of_the_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.lower("text").contains("licen"))
+    lines = {(r.doc_id, m.strip()) for r in docs.select("doc_id", "text").collect() for m in r.text.split("\n") if "licen" in m.lower()}
+    found = {r.doc_id: set() for r in docs.select("doc_id").collect()}
+    for r in X.license_scan(docs).collect():
+        found[r.doc_id].add(r.notice)
+    assert len(lines) > 200 and all(found.values())
+    by_nc = {i for i, m in lines if "CC BY-NC 4.0" in m}
+    assert by_nc and by_nc == {i for i, names in found.items() if "cc-by-nc-4.0-code" in names}
+
+
+def test_short_license_codes_are_told_apart():
+    scanner = X.Scanner(X.NOTICES)
+    for name, code in X.NOTICES.items():
+        if name.startswith("cc-") and name.endswith(("-code", "-spdx")):
+            text = f"Licensed under {code}."
+            assert scanner.scan(text) == [(name, 15, len(text) - 1, 0)]
+    assert scanner.scan("Traffic grew by 4.0 percent, public by 3.0.") == []
+
+
 # Mixing
 
 

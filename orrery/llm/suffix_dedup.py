@@ -22,8 +22,8 @@ Of equal windows, the first by ``(doc_id, position)`` is kept, the others go.
 Nulls, empties and ties: texts that are null or have fewer than ``length`` words
 have no window.  A row without ``doc_id`` cannot be named and is left out.  Rows
 that repeat an id with the same text count as one, with other texts they are read
-as texts of the same document, whose spans are then joined.  Other columns are
-ignored.
+as texts of the same document, whose spans are then joined; equal windows at the
+same place of both are one place.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,19 +148,26 @@ def _compare(table: pa.Table, length: int, k: int):
         return
     key, doc, at, near, far = (table.column(c).to_numpy() for c in range(5))
     context = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint32).reshape(n, length + reach)
+    same = context[1:] == context[:-1]
+    # Rows that repeat an id and its text give the same suffixes: one stays.
+    twin = same.all(axis=1) & (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+    if twin.any():
+        stay = np.concatenate([[True], ~twin])
+        key, doc, at, near, far, context = (x[stay] for x in (key, doc, at, near, far, context))
+        n, same = len(key), context[1:] == context[:-1]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, n))
     before = np.arange(reach + 1)
     own = (before >= near[:, None]) & (before <= far[:, None])
     shared, later = np.zeros((n, reach + 1), dtype=bool), np.zeros((n, reach + 1), dtype=bool)
     # Neighbours: how far do they agree to the right and to the left?
-    same = context[1:] == context[:-1]
     right = np.minimum.accumulate(same[:, :length], axis=1).sum(axis=1)
     left = np.minimum.accumulate(same[:, length:], axis=1).sum(axis=1)
     match = (before <= left[:, None]) & (length - before <= right[:, None]) & (key[1:] == key[:-1])[:, None]
     pair = start[size == 2]
     if len(pair):
-        both = match[pair] & own[pair] & own[pair + 1]
+        apart = (doc[pair] != doc[pair + 1]) | (at[pair] != at[pair + 1])
+        both = match[pair] & own[pair] & own[pair + 1] & apart[:, None]
         shared[pair], shared[pair + 1] = both, both
         first_later = (doc[pair] > doc[pair + 1]) | ((doc[pair] == doc[pair + 1]) & (at[pair] > at[pair + 1]))
         later[np.where(first_later, pair, pair + 1)] = both
@@ -180,12 +187,15 @@ def _compare(table: pa.Table, length: int, k: int):
             o = mine[order]
             g, hh, dd, aa = group[o], h[order], doc[many[o]], at[many[o]]
             equal = (g[1:] == g[:-1]) & (hh[1:] == hh[:-1])
-            again = np.concatenate([[False], equal])
-            shared[many[o[again]], b] = True
-            shared[many[o[np.concatenate([equal, [False]])]], b] = True
-            # A row that repeats both id and text is the same place, no later one.
-            twin = np.concatenate([[False], equal & (dd[1:] == dd[:-1]) & (aa[1:] == aa[:-1])])
-            later[many[o[again & ~twin]], b] = True
+            lead = np.concatenate([[True], ~equal])
+            run = np.cumsum(lead) - 1
+            head = np.flatnonzero(lead)[run]
+            # Rows at the first place of a window are that place, no later one.
+            other = (dd != dd[head]) | (aa != aa[head])
+            several = np.zeros(run[-1] + 1, dtype=bool)
+            several[run[other]] = True
+            shared[many[o[several[run]]], b] = True
+            later[many[o[other]], b] = True
     yield _spans(shared, doc, at, False, length)
     yield _spans(later, doc, at, True, length)
 
@@ -224,7 +234,6 @@ def _repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
     keys = kept.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     listed = kept.join(keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("listed"))
     some = suffixes(_texts(docs).join(listed, "doc_id"), length, k)
-    # Rows that repeat an id and its text give the same suffixes: one is enough.
     order = some.repartition("key").sortWithinPartitions("key", "context", "doc_id", "at")
     return cut(spark, order.mapInArrow(_neighbours(length, k), "doc_id long, lo int, hi int, later boolean"), "repeats")
 

@@ -150,3 +150,18 @@ def test_repeats_on_odd_rows(odd, nothing):
     assert kept.filter("doc_id = 8").first().n_chars == 6
     assert D.repeated_passages(nothing).count() == 0
     assert D.drop_repeats(nothing).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_keep_it(documents, prose):
+    twice, shared = prose(80), prose(70)
+    texts = [(1, twice), (1, twice), (2, shared + " " + prose(60)), (2, shared + " " + prose(60)), (3, prose(55))]
+    for rows in (texts[:2], texts, texts[2:4]):
+        frame = documents([(i, t, "en", "s", len(t)) for i, t in rows])
+        assert D.repeated_passages(frame).count() == 0
+        assert sorted((r.doc_id, r.text) for r in D.drop_repeats(frame).select("doc_id", "text").collect()) == sorted(rows)
+    # A third copy under another id goes, whichever of them is read first.
+    for other in (0, 5):
+        frame = documents([(i, t, "en", "s", len(t)) for i, t in [*texts[:2], (other, twice), (other, twice)]])
+        kept = sorted((r.doc_id, r.text) for r in D.drop_repeats(frame).select("doc_id", "text").collect())
+        assert kept == [(min(1, other), twice)] * 2
+        assert {tuple(r) for r in D.repeated_passages(frame).select("doc_id", "word_start", "word_end", "later_words").collect()} == {(min(1, other), 0, 80, 0), (max(1, other), 0, 80, 80)}

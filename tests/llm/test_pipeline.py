@@ -100,6 +100,14 @@ def test_stages_on_an_empty_table_and_on_odd_rows(spark, sf, odd, nothing):
     assert docs.count() > 0
 
 
+def test_repeated_rows_pass_the_stages_whole(spark, sf, documents, prose):
+    text = prose(80)
+    docs = documents([(1, text, "en", "a", len(text)), (1, text, "en", "a", len(text)), (2, prose(70), "en", "a", 70)], False)
+    for name, f in corpus_pipeline.STAGES[:3]:
+        docs = cut(spark, f(spark, docs, sf), "test-repeated")
+        assert [r.text for r in docs.filter("doc_id = 1").collect()] == [text, text], name
+
+
 def test_tables_are_cut_in_the_folder_of_the_setting(tmp_path):
     """In a session of its own, as the setting is fixed when a session starts."""
     code = f"""

@@ -6,8 +6,11 @@ codeword has the least logistic loss against the classifiers' margins, so a few
 wrong bits do no harm.  A text is *ambiguous* when the second best codeword is
 nearly as good.
 
-The classifiers are fitted on at most ``sample`` labelled rows, those whose hashed
-ids fall into a share of all hashes, read whole; scoring reads every text whole.
+The languages are those of all labelled rows.  The classifiers are fitted on at most
+``sample`` of the rows, read whole: of each language those of the lowest hashes, as
+many as go with the square root of its rows and one at least (so one of each, should
+there be more languages than ``sample``).  In the fit a language weighs as that root
+at any size of the corpus.  Scoring reads every text whole.
 
 Nulls, empties and ties: rows without label or text are not fitted on; a null,
 empty or letterless text gets a null language and is rejected; equal losses go to
@@ -25,12 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
 from orrery.llm.common import small_batches
 
-#: Labelled rows that the classifiers are fitted on, at most.
+#: Labelled rows that the classifiers are fitted on, at most (but one of each language).
 SAMPLE = 3000
 BINS = 4096
 #: Ambiguous: the gap of the two best mean losses is below this.  Such texts, mixed of two
@@ -110,26 +114,51 @@ class Model:
         return np.logaddexp(0, -m[:, None, :] * self.code[None]).mean(axis=2)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def quotas(counts: np.ndarray, sample: int) -> np.ndarray:
+    """Rows of each language to fit on: all, or by the square root of their number."""
+    if counts.sum() <= sample:
+        return counts
+    of = lambda t: np.minimum(counts, np.maximum(1, (t * np.sqrt(counts)).astype(np.int64)))
+    low, high = 0.0, float(sample)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if of(mid).sum() <= sample else (low, mid)
+    return of(low)
+
+
+def _training(docs: DataFrame, sample: int, label_col: str, id_col: str, text_col: str) -> tuple[pa.Table, dict[str, int]]:
+    """``y, t, h`` of the rows to fit on, and the number of labelled rows of each language."""
     rows = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    n = rows.count()
-    if n > sample:
-        # A share of the hashes, a little below the bound; no order, nothing moves.
-        share = F.lit(int((0.95 * sample / n) * (1 << 62)))
-        rows = rows.filter(F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)) < share)
-    part = rows.select(F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("t")).limit(sample).toArrow()
+    rows = rows.select(F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).bitwiseAND(F.lit((1 << 62) - 1)).alias("h"))
+    found = rows.groupBy("y").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy("y").collect()
+    counts = np.array([r.n for r in found], dtype=np.int64)
+    quota = quotas(counts, sample)
+    if counts.sum() > sample:
+        # A share of the hashes that holds the quota by far and the lowest hash surely; few texts move.
+        bars = [max(r.least, min(1 << 62, int((q + 6 * q**0.5 + 20) / r.n * (1 << 62)))) for r, q in zip(found, quota.tolist(), strict=True)]
+        of = lambda values: F.element_at(F.create_map(*[F.lit(x) for r, v in zip(found, values, strict=True) for x in (r.y, v)]), F.col("y"))
+        rows = rows.filter(F.col("h") <= of(bars))
+        rows = rows.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h"))).filter(F.col("k") <= of(quota.tolist())).drop("k")
+    return rows.toArrow().sort_by([("y", "ascending"), ("h", "ascending")]), {r.y: r.n for r in found}
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    part, counts = _training(docs, sample, label_col, id_col, text_col)
     if part.num_rows == 0:
         return None
     texts = part["t"].combine_chunks()
     labels = np.array(part["y"].to_pylist(), dtype=object).astype(str)
     x = np.concatenate([_scaled(c) for _, _, c in features(texts)])
-    languages = sorted(set(labels))
+    languages, place, rows = np.unique(labels, return_inverse=True, return_counts=True)
+    languages = languages.tolist()
+    weight = (np.sqrt([counts[x] for x in languages]) / rows)[place].astype(np.float32)[:, None]
+    weight /= weight.mean()
     code = codewords(len(languages)).astype(np.float32)
     y = code[np.searchsorted(np.array(languages), labels)]
     w, b = np.zeros((BINS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     if len(languages) > 1:
         for _ in range(STEPS):
-            pull = y / (1 + np.exp(y * (x @ w + b)))
+            pull = weight * y / (1 + np.exp(y * (x @ w + b)))
             w += RATE * (x.T @ pull) / len(x) * 8
             b += 0.5 * pull.mean(axis=0)
     else:

@@ -296,6 +296,31 @@ def test_the_fit_is_on_a_bounded_sample(spark):
     assert sorted(L.fit(docs, sample=60).languages) == sorted({r.lang for r in docs.select("lang").distinct().collect()})
 
 
+def test_a_rare_language_is_learnt_at_any_size(documents):
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    kinds = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr"}
+    rows = [(i, text(kinds[y]), y, "s", 1) for i, y in enumerate(["aa"] * 3000 + ["bb"] * 900 + ["cc"] * 3)]
+    docs = documents(rows, False)
+    for sample in (100, 1000, 5000):
+        part, counts = L._training(docs, sample, "lang", "doc_id", "text")
+        assert counts == {"aa": 3000, "bb": 900, "cc": 3} and part.num_rows <= sample
+        assert set(part["y"].to_pylist()) == set(kinds)
+        model = L.fit(docs, sample=sample)
+        new = documents([(k, text(kinds[y]), None, "s", 1) for k, y in enumerate(sorted(kinds) * 4)], False)
+        got = L.identify(new, model).orderBy("doc_id").collect()
+        assert [(r.language, r.rejected) for r in got] == [(y, False) for y in sorted(kinds) * 4]
+
+
+def test_quotas():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        counts = rng.integers(1, 10 ** rng.integers(1, 9), rng.integers(1, 30))
+        q = L.quotas(counts, 3000)
+        assert (q >= 1).all() and (q <= counts).all() and q.sum() <= 3000
+        assert q.sum() >= min(counts.sum(), 3000) - 2 * len(counts)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 9])
 def test_codewords_differ(n):
     assert len(np.unique(L.codewords(n), axis=0)) == n

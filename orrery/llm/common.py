@@ -7,12 +7,16 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 #: Folders made for sessions without the setting, by application.
 _own: dict[str, str] = {}
+#: Tables written by ``cut``, in order.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (local mode, tests) a temporary folder is made
-    once for the application.
+    Where the setting is absent in local mode (tests) a temporary folder is made
+    once for the application; on a cluster that would be another folder for each
+    machine, so there its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="orrery-")
     return base.rstrip("/")
 
@@ -60,14 +67,31 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written() -> int:
+    """A mark for ``release``: how many tables ``cut`` has written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables that ``cut`` wrote between two marks; without marks, all of the application.
+
+    Results that still have to be read must not depend on them.
+    """
+    gone = _written[since:until]
+    if since == 0 and until is None:
+        gone = [f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kind_of(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column."""
+    return to_arrow_type(df.schema[column].dataType)
 
 
 #: Bits of the filters of ids.
@@ -84,7 +108,7 @@ def ids_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def id_bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

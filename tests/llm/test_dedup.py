@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from orrery.llm import ngram_join as J
 from orrery.llm import suffix_dedup as D
@@ -47,13 +48,44 @@ def test_words_agree_with_a_regular_expression(prose):
     assert len(set(seen.values())) == len(seen)
 
 
+def brute_rows(docs, threshold=J.THRESHOLD):
+    """The rows of the join: class and links of each document, from all pairs."""
+    lead, links = {i: i for i in docs}, dict.fromkeys(docs, 0)
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for a, b in brute_pairs(docs, threshold):
+        links[a] += 1
+        links[b] += 1
+        x, y = sorted((top(a), top(b)))
+        lead[y] = x
+    return {(i, top(i), links[i]) for i in docs}
+
+
+def rows_of(frame, **how):
+    return {(r.doc_id, r.class_id, r.n_links) for r in J.ngram_jaccard_join(frame, **how).collect()}
+
+
 def test_join_equals_brute_force(spark, documents, prose, words):
     rng = np.random.default_rng(5)
     base = [prose(int(n)) for n in rng.integers(1, 200, 40)]
     texts = base + [near(t, words, rng, s) for t in base[:25] for s in (0.02, 0.05, 0.1, 0.2)] + base[:6]
     docs = dict(enumerate(texts))
-    got = J.expand_copies(J.ngram_jaccard_join(documents([(i, t, "en", "s", 1) for i, t in docs.items()])))
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in got.collect()} == brute_pairs(docs)
+    frame = documents([(i, t, "en", "s", 1) for i, t in docs.items()])
+    assert rows_of(frame) == brute_rows(docs)
+    lowest = {}
+    for i, t in docs.items():
+        lowest.setdefault(frozenset(gram_set(t)), i)
+    want = {(a, b): j for (a, b), j in brute_pairs(docs).items() if {a, b} <= set(lowest.values())}
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in J.similar_sets(frame).collect()} == want
+
+
+def test_equal_sets_with_unequal_counts(documents):
+    docs = {1: "x y z x y z x y z", 2: "x y z x y z x y z x y z", 3: "x y z x y z x y z x y z", 4: "x y z x y z", 9: "other words here"}
+    assert rows_of(documents([(i, t, "en", "s", 1) for i, t in docs.items()])) == brute_rows(docs)
 
 
 def test_other_gram_sizes_and_thresholds(documents, prose, words):
@@ -61,27 +93,67 @@ def test_other_gram_sizes_and_thresholds(documents, prose, words):
     base = [prose(60) for _ in range(10)]
     docs = dict(enumerate(base + [near(t, words, rng, 0.1) for t in base]))
     for threshold in (0.3, 1.0):
-        got = J.expand_copies(J.ngram_jaccard_join(documents([(i, t, "en", "s", 1) for i, t in docs.items()]), threshold=threshold))
-        assert {(r.doc_a, r.doc_b) for r in got.collect()} == set(brute_pairs(docs, threshold))
+        assert rows_of(documents([(i, t, "en", "s", 1) for i, t in docs.items()]), threshold=threshold) == brute_rows(docs, threshold)
 
 
 def test_a_large_group_of_near_copies(documents, prose, words):
     rng = np.random.default_rng(7)
     t = prose(100)
     docs = {i: near(t, words, rng, 0.03) for i in range(300)}
-    got = {(r.doc_a, r.doc_b) for r in J.ngram_jaccard_join(documents([(i, x, "en", "s", 1) for i, x in docs.items()], False)).collect()}
-    assert got == set(brute_pairs(docs))
+    assert rows_of(documents([(i, x, "en", "s", 1) for i, x in docs.items()], False)) == brute_rows(docs)
+
+
+def test_tiles_parts_and_hot_sets_change_nothing(monkeypatch, documents, prose, words):
+    for name, value in (("TILE", 16), ("BLOCK", 20), ("BLOCK_GRAMS", 3000), ("HOT", 3), ("_SEEN", 5)):
+        monkeypatch.setattr(J, name, value)
+    rng = np.random.default_rng(9)
+    t = prose(60)
+    docs = dict(enumerate([near(t, words, rng, 0.04) for _ in range(150)] + [t] * 30 + [prose(30) for _ in range(20)]))
+    frame = documents([(i, x, "en", "s", 1) for i, x in docs.items()], False)
+    assert rows_of(frame) == brute_rows(docs)
+
+
+def test_a_hot_gram_goes_to_blocks_of_bounded_size(spark):
+    """One gram in 200,000 sets: rows for blocks of two tiles, over several tasks."""
+    m = 200_000
+    index = spark.range(m).selectExpr("7L as gram", "xxhash64(id) as sig", "int(3 + id % 3000) as size", "2 as rest")
+    blocks = J._blocks(spark, index.union(spark.range(40).selectExpr("id + 100 as gram", "xxhash64(id div 2) as sig", "5 as size", "1 as rest")))
+    size = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    tiles = 256
+    assert max(size.values()) < 4 * J.TILE and len(size) == tiles * (tiles + 1) // 2
+    assert sum(size.values()) == m * tiles
+
+
+def test_hot_runs_pair_as_short_ones(monkeypatch, spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(s), int(n), int(rng.integers(0, 9))) for s in range(90) for n in [rng.integers(3, 30)] for g in rng.choice(6, 4, replace=False)]
+    index = spark.createDataFrame(rows + rows[:50], "gram long, sig long, size int, rest int")
+    got = []
+    for tile in (1024, 4):
+        monkeypatch.setattr(J, "TILE", tile)
+        got.append({tuple(r) for r in J.candidates(index).collect()})
+    assert got[0] == got[1] and len(got[0]) > 20
 
 
 def test_join_on_odd_rows(odd, nothing):
-    pairs = {(r.doc_a, r.doc_b) for r in J.ngram_jaccard_join(odd).collect()}
-    assert pairs == {(1, 2), (7, 8)}
+    assert {r for r in rows_of(odd) if r[2]} == {(1, 1, 1), (2, 1, 1), (7, 7, 1), (8, 7, 1)}
+    assert {r[0] for r in rows_of(odd)} == set(range(1, 10))
     kept = J.drop_near_copies(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [1, 1, 3, 4, 5, 6, 7, 9]
     assert kept.filter("doc_id is null").count() == 1
     assert J.ngram_jaccard_join(nothing).count() == 0
     assert J.drop_near_copies(nothing).count() == 0
+    assert J.similar_sets(nothing).count() == 0
+
+
+def test_ids_may_be_strings_and_come_with_several_texts(documents, prose, words):
+    rng = np.random.default_rng(12)
+    a, b = prose(90), prose(90)
+    texts = [(1, a), (2, near(a, words, rng, 0.02)), (3, a), (3, b), (4, b), (4, b), (5, prose(40))]
+    frame = documents([(i, t, "en", "s", 1) for i, t in texts], False).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert rows_of(frame) == {("d1", "d1", 2), ("d2", "d1", 2), ("d3", "d1", 3), ("d4", "d1", 1), ("d5", "d5", 0)}
+    assert sorted(r.doc_id for r in J.drop_near_copies(frame).collect()) == ["d1", "d5"]
 
 
 def test_groups_follow_chains(spark):

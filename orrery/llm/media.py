@@ -9,8 +9,11 @@ samples, where the table is absent).
 Nulls, empties and errors: a null or empty container, one without ``moov`` and one
 without tracks give one row with null track columns and the reason in ``error``.
 A track whose tables are cut off or contradict each other has the fields read
-so far and the reason.  Keyframe ranges past the end of the data stay as declared.
-Repeated rows give repeated rows; a null id passes through.
+so far and the reason; so has one with times or places beyond 63 bits, and one
+that makes keyframes of more equal samples than the file has bytes for.  No table
+takes more memory than its bytes in the file do, times a small number.  A duration
+that says it is unknown (all bits set) is null.  Keyframe ranges past the end of the
+data stay as declared.  Repeated rows give repeated rows; a null id passes through.
 """
 
 from __future__ import annotations
@@ -66,18 +69,27 @@ def _table(data, a, b, columns: int, what: str) -> np.ndarray:
     return _numbers(data, a + 8, b, 4, n * columns, what).reshape(n, columns)
 
 
+#: Places and times beyond are errors: the largest number of the columns.
+_MOST = (1 << 63) - 1
+_BLANK = dict.fromkeys(("track_id", "handler", "codec", "timescale", "duration_ms", "n_samples", "keyframes", "error"))
+
+
 def _track(data, a: int, b: int) -> dict:
-    out = dict.fromkeys(("track_id", "handler", "codec", "timescale", "duration_ms", "n_samples", "keyframes", "error"))
+    """The fields of ``TYPE``; ``keyframes`` as an array of offsets and one of sizes."""
+    out = dict(_BLANK)
     try:
         if (x := _find(data, a, b, "tkhd")) and x[0] + 24 <= x[1]:
             (out["track_id"],) = struct.unpack_from(">I", data, x[0] + (20 if data[x[0]] == 1 else 12))
         if (x := _find(data, a, b, "mdia", "hdlr")) and x[0] + 12 <= x[1]:
             out["handler"] = bytes(data[x[0] + 8 : x[0] + 12]).decode("latin1")
         x = _find(data, a, b, "mdia", "mdhd")
-        if not x or x[0] + (32 if data[x[0]] == 1 else 20) > x[1]:
+        if not x or x[0] + 20 > x[1] or (data[x[0]] == 1 and x[0] + 32 > x[1]):
             raise MediaError("no media header")
-        scale, ticks = struct.unpack_from(">IQ", data, x[0] + 20) if data[x[0]] == 1 else struct.unpack_from(">II", data, x[0] + 12)
+        wide = data[x[0]] == 1
+        scale, ticks = struct.unpack_from(">IQ", data, x[0] + 20) if wide else struct.unpack_from(">II", data, x[0] + 12)
         out["timescale"] = scale
+        if ticks == (1 << (64 if wide else 32)) - 1:
+            ticks = None
         stbl = _find(data, a, b, "mdia", "minf", "stbl")
         if not stbl:
             raise MediaError("no sample table")
@@ -85,29 +97,37 @@ def _track(data, a: int, b: int) -> dict:
         if "stsd" in at and at["stsd"][0] + 16 <= at["stsd"][1]:
             out["codec"] = bytes(data[at["stsd"][0] + 12 : at["stsd"][0] + 16]).decode("latin1")
         if "stts" in at:
-            times = _table(data, *at["stts"], 2, "stts")
-            ticks = int((times[:, 0] * times[:, 1]).sum())
-        if scale:
+            times = _table(data, *at["stts"], 2, "stts").astype(np.uint64)
+            each = times[:, 0] * times[:, 1]  # below 2^64
+            ticks = (int((each >> np.uint64(32)).sum()) << 32) + int((each & np.uint64(0xFFFFFFFF)).sum())
+        if scale and ticks is not None:
+            if ticks * 1000 // scale > _MOST:
+                raise MediaError("the duration is out of range")
             out["duration_ms"] = ticks * 1000 // scale
-        sizes = _sizes(data, at)
-        out["n_samples"] = len(sizes)
-        begin = _offsets(data, at, sizes)
-        keys = _table(data, *at["stss"], 1, "stss")[:, 0] - 1 if "stss" in at else np.arange(len(sizes))
-        if len(keys) and (keys.min() < 0 or keys.max() >= len(sizes)):
-            raise MediaError("stss names a sample that is not there")
-        out["keyframes"] = [{"offset": int(o), "size": int(s)} for o, s in zip(begin[keys], sizes[keys], strict=True)]
+        same, sizes, n = _sizes(data, at)
+        out["n_samples"] = n
+        if "stss" in at:
+            keys = _table(data, *at["stss"], 1, "stss")[:, 0] - 1
+            if len(keys) and (keys.min() < 0 or keys.max() >= n):
+                raise MediaError("stss names a sample that is not there")
+        elif same * n > len(data):
+            raise MediaError("more samples than the file has bytes for")
+        else:
+            keys = np.arange(n)
+        out["keyframes"] = _offsets(data, at, same, sizes, n, keys), (np.full(len(keys), same, dtype=np.int64) if same else sizes[keys])
     except MediaError as e:
         out["error"] = str(e)
     return out
 
 
-def _sizes(data, at) -> np.ndarray:
+def _sizes(data, at) -> tuple[int, np.ndarray | None, int]:
+    """The size of all samples or 0, the sizes of each if they differ, and the number of samples."""
     if "stsz" in at:
         a, b = at["stsz"]
         if a + 12 > b:
             raise MediaError("stsz is cut off")
         same, n = struct.unpack_from(">II", data, a + 4)
-        return np.full(n, same, dtype=np.int64) if same and n <= 1 << 28 else _numbers(data, a + 12, b, 4, n, "stsz")
+        return (same, None, n) if same else (0, _numbers(data, a + 12, b, 4, n, "stsz"), n)
     if "stz2" in at:
         a, b = at["stz2"]
         if a + 12 > b:
@@ -115,14 +135,14 @@ def _sizes(data, at) -> np.ndarray:
         bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
         if bits == 4:
             pairs = _numbers(data, a + 12, b, 1, (n + 1) // 2, "stz2")
-            return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n]
+            return 0, np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n], n
         if bits in (8, 16):
-            return _numbers(data, a + 12, b, bits // 8, n, "stz2")
+            return 0, _numbers(data, a + 12, b, bits // 8, n, "stz2"), n
     raise MediaError("no sample sizes")
 
 
-def _offsets(data, at, sizes: np.ndarray) -> np.ndarray:
-    """Where each sample begins."""
+def _offsets(data, at, same: int, sizes: np.ndarray | None, n: int, keys: np.ndarray) -> np.ndarray:
+    """Where the samples ``keys`` begin: their chunk, and what lies before them in it."""
     if "co64" in at:
         a, b = at["co64"]
         chunks = _numbers(data, a + 8, b, 8, struct.unpack_from(">I", data, a + 4)[0] if a + 8 <= b else -1, "co64")
@@ -133,42 +153,62 @@ def _offsets(data, at, sizes: np.ndarray) -> np.ndarray:
     if "stsc" not in at:
         raise MediaError("no samples a chunk")
     runs = _table(data, *at["stsc"], 3, "stsc")
-    if not len(sizes):
+    if not n:
         return np.zeros(0, np.int64)
     first = runs[:, 0] - 1
     if not len(runs) or first[0] != 0 or (np.diff(first) <= 0).any() or first[-1] >= len(chunks):
         raise MediaError("stsc does not fit the chunks")
-    each = np.repeat(runs[:, 1], np.diff(np.append(first, len(chunks))))
-    if int(each.sum()) < len(sizes):
+    each = np.repeat(np.minimum(runs[:, 1], n), np.diff(np.append(first, len(chunks))))
+    upto = np.cumsum(each)
+    if int(upto[-1]) < n:
         raise MediaError("stsc has fewer samples than stsz")
-    if (each > len(sizes)).any():
-        each = np.minimum(each, len(sizes))
-    chunk = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
-    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    head = np.searchsorted(chunk, chunk)
-    return chunks[chunk] + before - before[head]
+    chunk = np.searchsorted(upto, keys, side="right")
+    head = upto[chunk] - each[chunk]
+    if same:
+        if len(keys) and int((keys - head).max()) > _MOST // same:
+            raise MediaError("a chunk offset is out of range")
+        before = (keys - head) * same
+    else:
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        before = total[keys] - total[head]
+    # Offsets of 64 bits come as negative numbers beyond 63.
+    if len(keys) and ((chunks[chunk] < 0).any() or (chunks[chunk] > _MOST - before).any()):
+        raise MediaError("a chunk offset is out of range")
+    return chunks[chunk] + before
 
 
-def read_container(blob: bytes | None) -> list[dict]:
-    """One dictionary for each track; a single one with an error, where there is none."""
-    blank = dict.fromkeys(("track_id", "handler", "codec", "timescale", "duration_ms", "n_samples", "keyframes", "error"))
+def _tracks(blob: bytes | None) -> list[dict]:
     if not blob:
-        return [blank | {"error": "no data"}]
+        return [_BLANK | {"error": "no data"}]
     data = memoryview(blob)
     try:
         moov = _find(data, 0, len(data), "moov")
         if not moov:
-            return [blank | {"error": "no moov"}]
+            return [_BLANK | {"error": "no moov"}]
         tracks = [_track(data, a, b) for kind, a, b in boxes(data, *moov) if kind == "trak"]
     except MediaError as e:
-        return [blank | {"error": str(e)}]
-    return tracks or [blank | {"error": "no tracks"}]
+        return [_BLANK | {"error": str(e)}]
+    return tracks or [_BLANK | {"error": "no tracks"}]
+
+
+def read_container(blob: bytes | None) -> list[dict]:
+    """One dictionary for each track; a single one with an error, where there is none."""
+    as_list = lambda k: None if k is None else [{"offset": int(o), "size": int(s)} for o, s in zip(*k, strict=True)]
+    return [t | {"keyframes": as_list(t["keyframes"])} for t in _tracks(blob)]
 
 
 TYPE = "track_id long, handler string, codec string, timescale long, duration_ms long, n_samples long, keyframes array<struct<offset:long,size:long>>, error string"
 _ARROW = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration_ms", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))), ("error", pa.string())])
 
 
+def _keyframes(found: list) -> pa.Array:
+    """A list column from arrays of offsets and sizes, without an object for each keyframe."""
+    size = [0 if k is None else len(k[0]) for k in found]
+    at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32(), mask=np.array([*(k is None for k in found), False]))
+    parts = [np.concatenate([np.zeros(0, np.int64), *(k[c] for k in found if k is not None)]) for c in (0, 1)]
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(p) for p in parts], ["offset", "size"]))
+
+
 def media_columns(files: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     """A row for each track of each container: the id and the fields of ``TYPE``."""
     kind = files.schema[id_col].dataType.simpleString()
@@ -177,10 +217,10 @@ def media_columns(files: DataFrame, id_col: str, blob_col: str) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for r, blob in enumerate(batch.column(1)):
-                tracks = read_container(blob.as_py())
+                tracks = _tracks(blob.as_py())
                 rows += [r] * len(tracks)
                 out += tracks
-            fields = pa.array(out, _ARROW)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *fields.flatten()], names=[id_col, *(f.name for f in _ARROW)])
+            fields = [_keyframes([t["keyframes"] for t in out]) if f.name == "keyframes" else pa.array([t[f.name] for t in out], f.type) for f in _ARROW]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *fields], names=[id_col, *(f.name for f in _ARROW)])
 
     return files.select(F.col(id_col), F.col(blob_col)).mapInArrow(run, f"`{id_col}` {kind}, {TYPE}")

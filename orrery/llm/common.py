@@ -111,14 +111,13 @@ def id_bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``gone``, a written table.
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose ``doc_id`` surely is not in ``ids``, a written table, and the others.
 
-    Most rows are told to stay by a bitmap of the ids, where they are read; only
-    those that it does not clear are joined, so that few texts move.
+    Told by a bitmap of the ids where the rows are read, so that few texts move when
+    the others are joined.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ids_bitmap(gone))
+    shared = docs.sparkSession.sparkContext.broadcast(ids_bitmap(ids))
 
     @F.pandas_udf("boolean")
     def listed(at: pd.Series) -> pd.Series:
@@ -126,6 +125,11 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     hit = listed(id_bit("doc_id"))
+    return docs.filter(~hit), docs.filter(hit)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``gone``, a written table."""
+    clear, unsure = parted(docs, gone)
     ids = gone.select(F.col("doc_id").alias("_gone"))
-    unsure = docs.filter(hit)
-    return docs.filter(~hit).union(unsure.join(ids, unsure["doc_id"] == ids["_gone"], "left_anti"))
+    return clear.union(unsure.join(ids, unsure["doc_id"] == ids["_gone"], "left_anti"))

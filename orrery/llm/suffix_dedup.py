@@ -15,12 +15,16 @@ places are kept, about one in ``(length - k) / 2`` words.  Then
 4. shared windows that touch are joined, which extends a match to its full length
    on both sides, through as many selected places as it covers.
 
+First words that start more than ``HOT`` kept suffixes, boilerplate as a rule, would
+be one task's whole work; the windows around those places are compared by a grouped
+count instead, which gives the same and is spread over all tasks.
+
 The result is exact: a word belongs to a repeat if, and only if, some window of
 ``length`` words around it occurs twice in the corpus, in one document or in two.
 Of equal windows, the first by ``(doc_id, position)`` is kept, the others go.
 
 Nulls, empties and ties: texts that are null or have fewer than ``length`` words
-have no window.  A row without ``doc_id`` cannot be named and is left out.  Rows
+have no window.  Ids are of any type with an order.  A row without ``doc_id`` cannot be named and is left out.  Rows
 that repeat an id with the same text count as one, with other texts they are read
 as texts of the same document, whose spans are then joined; equal windows at the
 same place of both are one place.  Other columns are ignored.
@@ -30,20 +34,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut, small_batches
+from orrery.llm.common import cut, parted, sized, small_batches
 
 LENGTH, K = 50, 10
+#: Suffixes with the same first words that one task sorts; beyond, windows are counted.
+HOT = 1 << 14
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
 
 
 def _selected(h: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -79,16 +86,49 @@ def _selected(h: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np
 
 def places(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """``key, doc_id, at``: every selected place of every document."""
+    rows = _texts(docs)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = batch.column(0)
             for i, _, first, h, _, _ in textops.words(batch.column(1)):
                 p, key, _, _ = _selected(h, first, length, k)
                 row = np.searchsorted(first, p, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[i + row]), pa.array((p - first[row]).astype(np.int32))], names=["key", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(i + row)), pa.array((p - first[row]).astype(np.int32))], names=["key", "doc_id", "at"])
+
+    return rows.mapInArrow(run, f"key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at int")
+
+
+def _wanted(batch: pa.RecordBatch, i: int, j: int, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the places, words from each text's start, are in the texts' lists."""
+    listed, size = batch.column(2), 1 << 32
+    values, offsets = listed.values.to_numpy().astype(np.int64), listed.offsets.to_numpy()
+    want = np.concatenate([r * size + values[offsets[i + r] : offsets[i + r + 1]] for r in range(j - i)] or [np.zeros(0, np.int64)])
+    return np.isin(row * size + place, want)
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, at int")
+
+def windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """``h, doc_id, lo``: the windows that chose the listed places, with a hash of their words."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, first, h, _, _ in textops.words(batch.column(1)):
+                p, _, q1, q2 = _selected(h, first, length, k)
+                row = np.searchsorted(first, p, side="right") - 1
+                take = _wanted(batch, i, j, p - first[row], row)
+                q1, q2, row = q1[take], q2[take], row[take]
+                n = q2 - q1 + 1
+                q = np.arange(n.sum()) + np.repeat(q1 - (np.cumsum(n) - n), n)
+                own = np.repeat(row, n)
+                for a in range(0, len(q), 1 << 16):
+                    part, mine = q[a : a + (1 << 16)], own[a : a + (1 << 16)]
+                    g = np.zeros(len(part), dtype=np.uint64)
+                    for w in range(length):
+                        g = (g + h[part + w]) * np.uint64(0xD6E8FEB86659FD93)
+                    yield pa.RecordBatch.from_arrays([pa.array(textops.mix(g).view(np.int64)), ids.take(pa.array(i + mine)), pa.array((part - first[mine]).astype(np.int32))], names=["h", "doc_id", "lo"])
+
+    return docs.mapInArrow(run, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lo int")
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -102,15 +142,11 @@ def suffixes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            listed = batch.column(2)
-            values, offsets = listed.values.to_numpy().astype(np.int64), listed.offsets.to_numpy()
+            ids = batch.column(0)
             for i, j, first, h, _, _ in textops.words(batch.column(1)):
                 p, key, q1, q2 = _selected(h, first, length, k)
                 row = np.searchsorted(first, p, side="right") - 1
-                size = 1 << 32
-                want = np.concatenate([r * size + values[offsets[i + r] : offsets[i + r + 1]] for r in range(j - i)] or [np.zeros(0, np.int64)])
-                take = np.isin(row * size + p - first[row], want)
+                take = _wanted(batch, i, j, p - first[row], row)
                 p, key, q1, q2, row = p[take], key[take], q1[take], q2[take], row[take]
                 small = (h >> np.uint64(32)).astype(np.uint32)
                 for a in range(0, len(p), 1 << 14):
@@ -121,14 +157,14 @@ def suffixes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                     context = np.concatenate([np.where(r_ok, small[np.minimum(right, len(h) - 1)], 0), np.where(l_ok, small[np.maximum(left, 0)], 0)], axis=1).astype(np.uint32)
                     blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(context.shape[1] * 4), b - a, [None, pa.py_buffer(np.ascontiguousarray(context))]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[a:b].view(np.int64)), pa.array(ids[i + row[a:b]]), pa.array((p[a:b] - first[row[a:b]]).astype(np.int32)), pa.array((p[a:b] - q2[a:b]).astype(np.int32)), pa.array((p[a:b] - q1[a:b]).astype(np.int32)), blob],
+                        [pa.array(key[a:b].view(np.int64)), ids.take(pa.array(i + row[a:b])), pa.array((p[a:b] - first[row[a:b]]).astype(np.int32)), pa.array((p[a:b] - q2[a:b]).astype(np.int32)), pa.array((p[a:b] - q1[a:b]).astype(np.int32)), blob],
                         names=["key", "doc_id", "at", "near", "far", "context"],
                     )
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int, near int, far int, context binary")
+    return docs.mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, near int, far int, context binary")
 
 
-def _spans(mask: np.ndarray, doc: np.ndarray, at: np.ndarray, later: bool, length: int):
+def _spans(mask: np.ndarray, doc: np.ndarray, ids: pa.Array, at: np.ndarray, later: bool, length: int):
     """Runs of marked windows (columns: words before the place) as spans of words."""
     if not mask.any():
         return None
@@ -137,7 +173,7 @@ def _spans(mask: np.ndarray, doc: np.ndarray, at: np.ndarray, later: bool, lengt
     edge = np.diff(wide, axis=1)
     row, lo = np.nonzero(edge == 1)
     hi = np.nonzero(edge == -1)[1] - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((at[row] - hi).astype(np.int32)), pa.array((at[row] - lo + length).astype(np.int32)), pa.array(np.full(len(row), later))], names=["doc_id", "lo", "hi", "later"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[row])), pa.array((at[row] - hi).astype(np.int32)), pa.array((at[row] - lo + length).astype(np.int32)), pa.array(np.full(len(row), later))], names=["doc_id", "lo", "hi", "later"])
 
 
 def _compare(table: pa.Table, length: int, k: int):
@@ -146,7 +182,9 @@ def _compare(table: pa.Table, length: int, k: int):
     n = table.num_rows
     if n < 2:
         return
-    key, doc, at, near, far = (table.column(c).to_numpy() for c in range(5))
+    key, at, near, far = (table.column(c).to_numpy() for c in (0, 2, 3, 4))
+    ids = pc.unique(table.column(1)).sort()
+    doc = pc.index_in(table.column(1), ids).to_numpy()  # numbers in the order of the ids
     context = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint32).reshape(n, length + reach)
     same = context[1:] == context[:-1]
     # Rows that repeat an id and its text give the same suffixes: one stays.
@@ -196,8 +234,8 @@ def _compare(table: pa.Table, length: int, k: int):
             several[run[other]] = True
             shared[many[o[several[run]]], b] = True
             later[many[o[other]], b] = True
-    yield _spans(shared, doc, at, False, length)
-    yield _spans(later, doc, at, True, length)
+    yield _spans(shared, doc, ids, at, False, length)
+    yield _spans(later, doc, ids, at, True, length)
 
 
 def _neighbours(length: int, k: int):
@@ -229,13 +267,28 @@ def _repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
     """``doc_id, lo, hi, later``: unmerged spans of all repeats and of those that go."""
     if not 0 < k <= length:
         raise ValueError("k must lie in 1..length")
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     kept = cut(spark, places(docs, length, k), "places")
-    keys = kept.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    listed = kept.join(keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("listed"))
-    some = suffixes(_texts(docs).join(listed, "doc_id"), length, k)
-    order = some.repartition("key").sortWithinPartitions("key", "context", "doc_id", "at")
-    return cut(spark, order.mapInArrow(_neighbours(length, k), "doc_id long, lo int, hi int, later boolean"), "repeats")
+    keys = cut(spark, kept.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "keys")
+    hot = sized(spark, keys.filter(F.col("c") > HOT).select(F.col("key").alias("hot_key")), "hot")
+    marked = kept.join(hot, F.col("key") == F.col("hot_key"), "left")
+    per = lambda rows: rows.groupBy("doc_id").agg(F.collect_set("at").alias("listed"))
+
+    def with_lists(lists: DataFrame) -> DataFrame:
+        return parted(_texts(docs), lists)[1].join(lists, "doc_id").select("doc_id", "text", "listed")
+
+    cold = cut(spark, per(marked.filter("hot_key is null").join(keys, "key", "left_semi")), "listed")
+    order = suffixes(with_lists(cold), length, k).repartition("key").sortWithinPartitions("key", "context", "doc_id", "at")
+    spans = order.mapInArrow(_neighbours(length, k), f"doc_id {kind}, lo int, hi int, later boolean")
+    dense = cut(spark, per(marked.filter("hot_key is not null")), "dense")
+    if dense.take(1):
+        seen = cut(spark, windows(with_lists(dense), length, k), "windows")
+        place = F.struct("doc_id", "lo")
+        shared = sized(spark, seen.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(F.col("h").alias("g"), "first"), "shared")
+        both = seen.join(shared, F.col("h") == F.col("g")).select("doc_id", "lo", (F.col("lo") + length).alias("hi"), (place != F.col("first")).alias("later"))
+        # Every repeat, and once more those that go; windows of a text that overlap become one.
+        spans = spans.union(both.select("doc_id", "lo", "hi", F.lit(False))).union(both.filter("later"))
+    return cut(spark, spans, "repeats")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -255,15 +308,17 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     """``docs`` without the later copies of its repeats; ``n_chars`` follows the text.
 
     A span goes from its first word's first byte to the next word that stays.  A
-    document of which nothing but white space stays is dropped; all others, also
-    those that were empty before, remain.
+    document of which nothing but white space (of any kind) stays is dropped; all
+    others, also those that were empty or blank before, remain.
     """
+    spark = docs.sparkSession
     gone = _joined(_repeats(docs, length, k).filter("later").select("doc_id", "lo", "hi"))
     names = docs.columns
     id_, lo_, hi_ = (next(f"{n}{i}" for i in range(len(names) + 1) if f"{n}{i}".lower() not in {c.lower() for c in names}) for n in ("id", "lo", "hi"))
-    listed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("s"))
+    listed = cut(spark, gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("s")), "later")
+    clear, unsure = parted(docs, listed)
     listed = listed.select(F.col("doc_id").alias(id_), F.transform("s", lambda s: s.word_start).alias(lo_), F.transform("s", lambda s: s.word_end).alias(hi_))
-    marked = docs.join(listed, docs["doc_id"].cast("long") == listed[id_], "left").drop(id_)
+    marked = unsure.join(listed, unsure["doc_id"] == listed[id_], "left").drop(id_)
     touched = marked.filter(F.col(lo_).isNotNull() & F.col("text").isNotNull())
 
     def run(batches):
@@ -284,11 +339,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
                         parts.append(body[done : int(s[a])])
                         done = int(s[b]) if b < len(s) else len(body)
                     out[i + r] = b"".join([*parts, body[done:]]).decode()
-            table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(names)
-            yield from table.to_batches()
+            at = table.schema.get_field_index("text")
+            table = table.set_column(at, table.schema.field(at).with_type(pa.string()), pa.array(out, pa.string())).select(names)
+            stay = [bool(x.strip()) or not before.as_py().strip() for x, before in zip(out, text, strict=True)]
+            yield from table.filter(pa.array(stay)).to_batches()
 
     done = touched.mapInArrow(run, docs.schema)
-    done = done.filter(F.length(F.trim("text")) > 0)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names)
-    return marked.filter(F.col(lo_).isNull() | F.col("text").isNull()).select(names).union(done)
+    return clear.union(marked.filter(F.col(lo_).isNull() | F.col("text").isNull()).select(names)).union(done)

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import ngram_join as J
@@ -189,10 +190,12 @@ def brute_repeats(docs, length):
     return {(i, a, b, len([x for x in later.get(i, ()) if a <= x < b])) for i, a, b in out}, later
 
 
-def test_repeats_equal_brute_force(documents, prose):
+@pytest.mark.parametrize("hot", [D.HOT, 3])
+def test_repeats_equal_brute_force(monkeypatch, documents, prose, hot):
+    monkeypatch.setattr(D, "HOT", hot)
     rng = np.random.default_rng(8)
     parts = [prose(int(n)) for n in rng.integers(8, 60, 12)]
-    for length, k in ((12, 4), (20, 5), (10, 10)):
+    for length, k in ((12, 4), (20, 5), (10, 10)) if hot > 3 else ((12, 4),):
         docs = {i: " ".join(x for p in rng.choice(12, 4) for x in (prose(int(rng.integers(0, 9))), parts[p])) for i in range(40)}
         frame = documents([(i, t, "en", "s", 1) for i, t in docs.items()])
         want, later = brute_repeats(docs, length)
@@ -224,7 +227,18 @@ def test_repeats_on_odd_rows(odd, nothing):
     assert D.drop_repeats(nothing).count() == 0
 
 
-def test_rows_that_repeat_id_and_text_keep_it(documents, prose):
+def test_blank_remains_and_string_ids(documents, prose):
+    shared = prose(60)
+    texts = {1: shared, 2: f"\n\t{shared}", 3: "\n\t", 4: f"{shared} \n", 5: f"{shared} more", 10: prose(60)}
+    frame = documents([(i, t, "en", "s", 1) for i, t in texts.items()], False).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id for r in D.repeated_passages(frame).collect()} == {"d1", "d2", "d4", "d5"}
+    kept = {r.doc_id: r.text for r in D.drop_repeats(frame).collect()}
+    assert kept.keys() == {"d1", "d3", "d5", "d10"} and kept["d5"] == "more" and kept["d1"] == shared
+
+
+@pytest.mark.parametrize("hot", [D.HOT, 1])
+def test_rows_that_repeat_id_and_text_keep_it(monkeypatch, documents, prose, hot):
+    monkeypatch.setattr(D, "HOT", hot)
     twice, shared = prose(80), prose(70)
     texts = [(1, twice), (1, twice), (2, shared + " " + prose(60)), (2, shared + " " + prose(60)), (3, prose(55))]
     for rows in (texts[:2], texts, texts[2:4]):

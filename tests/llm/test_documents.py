@@ -3,6 +3,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -102,7 +103,7 @@ def test_mix_hits_its_numbers_and_odds(documents):
     assert by == {"a": 400, "b": 1000, "c": 600}
     # Expected copies of b: above one for the longer rows, so all of those are in.
     rows = [r for r in docs.collect() if r.source == "b"]
-    total = sum(min(r.n_chars, M.CAP_SIZE) for r in rows)
+    total = sum(r.n_chars for r in rows)
     copies = {r.doc_id: r.copies for r in got if r.source == "b"}
     for r in rows:
         e = 1000 * r.n_chars / total
@@ -126,6 +127,28 @@ def test_mix_on_odd_rows(odd, nothing):
     assert M.plan(nothing).count() == 0 == M.mixed(nothing).count()
 
 
+def test_a_very_long_document_weighs_as_it_is_long(documents):
+    docs = documents([(i, "t", "en", "a", 100) for i in range(99)] + [(99, "t", "en", "a", 1_000_000)], False)
+    copies = {r.doc_id: r.copies for r in M.plan(docs, total=1000).collect()}
+    assert copies[99] in (990, 991) and sum(copies.values()) == 1000
+
+
+def test_samples_keep_their_size_whatever_repeats(documents):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, None, 10 + i]), f"t{rng.randint(0, 3)}", "en", "abc"[i % 3], rng.choice([None, 0, 50, 50, 50, 900])) for i in range(240)]
+    docs = documents(rows)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "source": [r[3] for r in rows], "n_chars": pa.array([r[4] for r in rows], pa.int64())}))
+    want = Counter(con.execute(M.SQL).fetchall())
+    got = M.plan(docs)
+    assert Counter((r.doc_id, r.source, r.copies) for r in got.collect()) == want
+    mixed = M.mixed(docs)
+    assert mixed.columns == docs.columns
+    by = Counter(r.source for r in mixed.collect())
+    assert by == {"a": 80, "b": 80, "c": 80}
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, M.mixed(docs.repartition(7)).collect()))
+
+
 # Packing
 
 

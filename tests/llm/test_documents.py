@@ -1,5 +1,6 @@
 import heapq
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -14,6 +15,7 @@ from orrery.llm import langid as L
 from orrery.llm import licenses as X
 from orrery.llm import mixing as M
 from orrery.llm import packing as K
+from orrery.llm import queries
 from orrery.llm import sharding as S
 
 # Licenses
@@ -269,6 +271,42 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert not any(r.rejected for r in rows if r.language == r.lang)
 
 
+def scored(model, text):
+    """Language, gap and rejection of a text by plain loops over its bytes."""
+    raw, mask = (text or "").encode(), (1 << 64) - 1
+    letter = [b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 0 for b in raw]
+    counts = Counter()
+    for n in (1, 2, 3):
+        for at in range(len(letter) - n + 1):
+            part = letter[at : at + n]
+            if part[1] if n == 3 else part[0] or part[-1]:
+                g = 0
+                for x in part:
+                    g = (g * 257 + x + 1) & mask
+                g = (g + (n << 40)) & mask
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    g = ((g ^ (g >> shift)) * factor) & mask
+                counts[(g ^ (g >> 31)) >> 52] += 1
+    if not counts:
+        return None, 0.0, True
+    size = sum(math.log1p(c) ** 2 for c in counts.values()) ** 0.5
+    margins = [float(b) + sum(math.log1p(c) / size * float(model.weights[k, j]) for k, c in counts.items()) for j, b in enumerate(model.bias)]
+    loss = {name: sum(math.log1p(math.exp(-m * bit)) for m, bit in zip(margins, word, strict=True)) / len(margins) for name, word in zip(model.languages, model.code.tolist(), strict=True)}
+    first, second = sorted(loss.values())[:2]
+    return min(loss, key=loss.get), second - first, second - first < L.GAP
+
+
+def test_the_query_scores_as_plain_loops_do(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.fit(docs)
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        language, gap, rejected = scored(model, text)
+        assert (got[i].language, got[i].rejected) == (language, rejected) and got[i].gap == pytest.approx(gap, abs=1e-4), i
+
+
 def test_a_text_of_two_languages_is_ambiguous(spark, documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = L.fit(docs)

@@ -4,12 +4,21 @@ Language ID drops texts without a language, the n-gram Jaccard join leaves one
 document of each group of near copies, the suffix-array dedup takes repeated
 passages out, the mix brings the sources to equal weights, and the packing assigns
 what is left to length buckets and batches.
+
+Nulls, empties and ties: a null, empty or letterless text is rejected by the first
+stage.  Where there is no labelled row, nothing else is.  A row without ``doc_id``
+has no near copies and no passages in common, so it passes the second and third stage
+as it is, is mixed as the empty id and packed under a null id.  Rows that repeat id
+and text stay, all of them, up to the mix, which draws each by its own odds.  A null
+source is a source of its own, a null ``n_chars`` a length of 1; ties go to the
+lowest id.  An empty table gives an empty result, and extra columns pass all stages
+but the last, whatever their names.
 """
 
 from __future__ import annotations
 
 from orrery.llm import langid, mixing, ngram_join, packing, suffix_dedup
-from orrery.llm.common import cut, table
+from orrery.llm.common import cut, release, table, written
 
 
 def language_id(spark, docs, sf_dir):
@@ -46,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage wrote on its way goes when its result is there."""
+    docs, kept = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(spark, stage(spark, docs, sf_dir), name)
+        begun = written()
+        done = cut(spark, stage(spark, docs, sf_dir), name)
+        release(spark, begun, written() - 1)
+        if kept is not None:
+            release(spark, kept, kept + 1)
+        docs, kept = done, written() - 1
     return STAGES[-1][1](spark, docs, sf_dir)

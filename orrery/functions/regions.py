@@ -28,6 +28,23 @@ class Region:
         """Cells that can hold points of the region; ``None``: any."""
         return None
 
+    def radii(self) -> tuple[float, float] | None:
+        """Between which radii its points lie; ``None``: any."""
+        return None
+
+    def shells(self, bounds: list[float]) -> list[int] | None:
+        """Shells, numbered as by ``with_cells``, that can hold points of the region; ``None``: any."""
+        if (r := self.radii()) is None:
+            return None
+        cuts = sorted(set(bounds))
+        of = lambda x: min(sum(x >= b for b in cuts), max(len(cuts) - 1, 0))
+        return list(range(of(r[0]), of(r[1]) + 1)) if r[0] <= r[1] else []
+
+
+def sector_centres(theta_parts: int, phi_parts: int) -> list[tuple[int, float, float, float]]:
+    """``sector_id, theta, phi, diagonal`` of each cell: its middle, and a bound of how far apart its points are."""
+    return [(c, (t0 + t1) / 2, (p0 + p1) / 2, math.hypot(t1 - t0, p1 - p0)) for c, t0, t1, p0, p1 in _cells(theta_parts, phi_parts)]
+
 
 def _cells(theta_parts: int, phi_parts: int):
     dt, dp = 2 * math.pi / theta_parts, math.pi / phi_parts
@@ -82,6 +99,9 @@ class Shell(Region):
     def sql(self) -> str:
         return f"(r >= {S.num(self.inner)} AND r <= {S.num(self.outer)})"
 
+    def radii(self):
+        return self.inner, self.outer
+
 
 @dataclass(frozen=True)
 class Band(Region):
@@ -136,6 +156,10 @@ class Intersection(Region):
         found = [c for p in self.parts if (c := p.sectors(theta_parts, phi_parts)) is not None]
         return set.intersection(*found) if found else None
 
+    def radii(self):
+        found = [r for p in self.parts if (r := p.radii()) is not None]
+        return (max(r[0] for r in found), min(r[1] for r in found)) if found else None
+
 
 @dataclass(frozen=True)
 class Union(Region):
@@ -150,6 +174,10 @@ class Union(Region):
         found = [p.sectors(theta_parts, phi_parts) for p in self.parts]
         return None if None in found else set().union(*found)
 
+    def radii(self):
+        found = [p.radii() for p in self.parts]
+        return None if None in found or not found else (min(r[0] for r in found), max(r[1] for r in found))
+
 
 _KINDS = {"cone": Cone, "cap": Cap, "shell": Shell, "band": Band, "wedge": Wedge}
 

@@ -192,7 +192,8 @@ def gap_confidence(void: str, sharpness: str) -> str:
 
 
 def quality_level(combined: str) -> str:
-    return f"(CASE WHEN ({combined}) >= 0.10 THEN 'high' WHEN ({combined}) >= 0.03 THEN 'moderate' WHEN ({combined}) >= 0.005 THEN 'low' ELSE 'unreliable' END)"
+    """A bound itself belongs to the level below it."""
+    return f"(CASE WHEN ({combined}) > 0.10 THEN 'high' WHEN ({combined}) > 0.03 THEN 'moderate' WHEN ({combined}) > 0.005 THEN 'low' ELSE 'unreliable' END)"
 
 
 def quality(evr: str, certainty: str) -> str:
@@ -200,6 +201,26 @@ def quality(evr: str, certainty: str) -> str:
     return f"(({evr}) * ({certainty}) * greatest(sqrt({certainty}), 0.01))"
 
 
+def void_quality(evr: str, certainty: str, void: str, sharpness: str) -> str:
+    """The combined signal where the distance to the nearest cap is known."""
+    return f"(({evr}) * ({certainty}) * {gap_confidence(void, sharpness)})"
+
+
+def geo_from_cartesian(v: Vec) -> Vec:
+    """Latitude, longitude and altitude of a Cartesian point."""
+    return to_geo(*to_spherical(v))
+
+
+def cartesian_from_geo(lat: str, lon: str, alt: str) -> Vec:
+    return to_cartesian(*from_geo(lat, lon, alt))
+
+
+def plane_coordinates(v: Vec, centre, u, w, normal) -> Vec:
+    """Coordinates of a point in a plane's basis, and its signed distance from the plane."""
+    d = tuple(f"(({x}) - {num(c)})" for x, c in zip(v, centre, strict=True))
+    return dot(d, literal(u)), dot(d, literal(w)), dot(d, literal(normal))
+
+
 def bridge_threshold(evr: str, base: str, penalty: str) -> str:
     return f"(({base}) + (1.0 - ({evr})) * (1.0 - ({evr})) * ({penalty}))"
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import sphere as S
 from orrery.sources.points import GOLDEN
+from orrery.sources.tables import evaluated
 
 
 def cap_areas(caps: DataFrame) -> DataFrame:
@@ -21,11 +22,11 @@ def cap_areas(caps: DataFrame) -> DataFrame:
 
 
 def overlaps(caps: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of caps that share area."""
+    """Pairs ``a < b`` of caps that share area, the largest first."""
     a = caps.select(F.col("cat_id").alias("a"), F.col("spread").alias("sa"), *(F.col(f"c{c}").alias(f"p{c}") for c in "xyz"))
     b = caps.select(F.col("cat_id").alias("b"), F.col("spread").alias("sb"), *(F.col(f"c{c}").alias(f"q{c}") for c in "xyz"))
     pairs = a.join(b, F.col("a") < F.col("b")).withColumn("d", F.expr(S.angular(S.vec("p"), S.vec("q"))))
-    return pairs.select("a", "b", F.col("d").alias("distance"), F.expr(S.cap_overlap("d", "sa", "sb")).alias("area")).filter("area > 1e-15")
+    return pairs.select("a", "b", F.col("d").alias("distance"), F.expr(S.cap_overlap("d", "sa", "sb")).alias("area")).filter("area > 1e-15").orderBy(F.desc("area"), "a", "b")
 
 
 def overlap_bridges(caps: DataFrame, found: DataFrame) -> DataFrame:
@@ -43,10 +44,22 @@ def triples(caps: DataFrame) -> DataFrame:
     return t.select("a", "b", "c", F.expr(S.excess("ab", "bc", "ca")).alias("excess"))
 
 
+def top_triples(caps: DataFrame, n: int) -> DataFrame:
+    """The ``n`` triangles with the largest excess."""
+    return triples(caps).orderBy(F.desc("excess"), "a", "b", "c").limit(n)
+
+
 def curvature(caps: DataFrame) -> DataFrame:
-    """Mean, least and largest excess of the triangles at each category."""
+    """The excesses of the triangles at each category, in rising order; their mean, least and largest."""
     t = triples(caps)
-    return t.select(F.explode(F.array("a", "b", "c")).alias("cat_id"), "excess").groupBy("cat_id").agg(F.count("*").alias("triangles"), F.avg("excess").alias("mean"), F.min("excess").alias("least"), F.max("excess").alias("largest"))
+    per = t.select(F.explode(F.array("a", "b", "c")).alias("cat_id"), "excess").groupBy("cat_id")
+    return per.agg(F.count("*").alias("triangles"), F.avg("excess").alias("mean"), F.min("excess").alias("least"), F.max("excess").alias("largest"), F.sort_array(F.collect_list("excess")).alias("excesses"))
+
+
+def coherence(points: DataFrame, centre, radius: float) -> DataFrame:
+    """One row ``coherence``: the density within ``radius`` of a direction against that of the whole sphere."""
+    inside = F.expr(S.angular(S.vec("u"), S.literal(centre))) <= radius
+    return points.agg((F.avg(F.when(inside, 1.0).otherwise(0.0)) / ((1 - math.cos(radius)) / 2)).alias("coherence"))
 
 
 def antipodal(points: DataFrame, caps: DataFrame, radius: float) -> DataFrame:
@@ -67,8 +80,27 @@ def antipodal(points: DataFrame, caps: DataFrame, radius: float) -> DataFrame:
 
 
 def sweep(points: DataFrame, start, end, epsilon: float) -> DataFrame:
-    """Points within ``epsilon`` of the arc, nearest first."""
-    return points.withColumn("distance", F.expr(S.arc_distance(S.vec("u"), start, end))).filter(F.col("distance") <= epsilon).orderBy("distance", "ordinal")
+    """Points within ``epsilon`` of the arc, nearest first.
+
+    Products with the arc's normal and ends, computed once, tell most points apart.
+    """
+    n = [start[i] * end[j] - start[j] * end[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    size = math.sqrt(sum(x * x for x in n))
+    if size > 1e-15:
+        dots = {f"_{k}": F.expr(S.dot(S.vec("u"), S.literal(v))) for k, v in (("n", [x / size for x in n]), ("a", start), ("b", end))}
+        near = (F.abs(F.col("_n")) <= math.sin(min(epsilon, math.pi / 2)) + 1e-9) | (F.greatest("_a", "_b") >= math.cos(min(epsilon, math.pi)) - 1e-9)
+        points = evaluated(points, dots).filter(near).drop(*dots)
+    return evaluated(points, {"distance": F.expr(S.arc_distance(S.vec("u"), start, end))}).filter(F.col("distance") <= epsilon).orderBy("distance", "ordinal")
+
+
+def sweep_report(points: DataFrame, cats: DataFrame, a: int, b: int, epsilon: float, places: int = 10) -> DataFrame:
+    """One row for the arc between two categories: its length, the rows near it, how many are near each of its places, and the part of the places without any."""
+    ends = {r.cat_id: (r.cx, r.cy, r.cz) for r in cats.filter(F.col("cat_id").isin(a, b)).select("cat_id", "cx", "cy", "cz").collect()}
+    profile = density_profile(points, ends[a], ends[b], places, epsilon).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "points"))), lambda s: s.points).alias("profile"))
+    near = sweep(points, ends[a], ends[b], epsilon).agg(F.count("*").alias("items"))
+    length = F.expr(S.angular(S.literal(ends[a]), S.literal(ends[b])))
+    gap = F.size(F.filter("profile", lambda c: c == 0)) / F.size("profile")
+    return profile.crossJoin(near).select(F.lit(a).alias("a"), F.lit(b).alias("b"), length.alias("arc_length"), "items", "profile", gap.alias("gap_fraction"))
 
 
 def arc_samples(start, end, n: int) -> list[tuple[float, float, float]]:
@@ -103,8 +135,18 @@ def lunes(found: DataFrame, rows: DataFrame, caps: DataFrame) -> DataFrame:
     on = on.withColumn("side", F.expr(S.lune_side(S.vec("u"), S.vec("a"), S.vec("b"))))
     n = lambda s: F.sum(F.when(F.col("side") == s, 1).otherwise(0))
     out = on.groupBy("a", "b").agg(n("closer_to_a").alias("closer_to_a"), n("closer_to_b").alias("closer_to_b"), n("on_bisector").alias("on_bisector"))
-    total = F.col("closer_to_a") + F.col("closer_to_b")
-    return out.withColumn("asymmetry", F.when(total > 0, F.abs(F.col("closer_to_a") - F.col("closer_to_b")) / total).otherwise(0.0))
+    total = F.col("closer_to_a") + F.col("closer_to_b") + F.col("on_bisector")
+    return out.withColumn("asymmetry", F.abs(F.col("closer_to_a") - F.col("closer_to_b")) / total)
+
+
+def divergence(caps: DataFrame) -> DataFrame:
+    """``a, b, divergence``: how much nearer than its ends a third centre is to the middle of each pair, or 0."""
+    c = lambda n: caps.select(F.col("cat_id").alias(n), *(F.col(f"c{x}").alias(f"{n}{x}") for x in "xyz"))
+    pairs = c("a").join(c("b"), F.col("a") < F.col("b"))
+    pairs = evaluated(pairs, dict(zip(("mx", "my", "mz"), map(F.expr, S.slerp(S.vec("a"), S.vec("b"), "0.5")), strict=True)))
+    own = F.least(F.expr(S.angular(S.vec("m"), S.vec("a"))), F.expr(S.angular(S.vec("m"), S.vec("b"))))
+    third = pairs.join(c("k"), (F.col("k") != F.col("a")) & (F.col("k") != F.col("b")), "left").groupBy("a", "b").agg(F.min(F.expr(S.angular(S.vec("m"), S.vec("k")))).alias("other"), F.first(own).alias("own"))
+    return third.select("a", "b", F.greatest(F.coalesce(F.col("own") - F.col("other"), F.lit(0.0)), F.lit(0.0)).alias("divergence"))
 
 
 def samples(spark: SparkSession, n: int) -> DataFrame:
@@ -148,6 +190,15 @@ def voronoi(caps: DataFrame, n: int = 100_000, margin: float = 0.05) -> DataFram
     return caps.select("cat_id").join(area, "cat_id", "left").join(both, "cat_id", "left").select("cat_id", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("neighbours", F.array().cast("array<int>")).alias("neighbours"))
 
 
+def voronoi_report(caps: DataFrame, graph: DataFrame, n: int = 100_000, margin: float = 0.05) -> DataFrame:
+    """``voronoi`` with the members per area and the overlap of a cell's neighbours with those in the category graph."""
+    linked = graph.groupBy(F.col("src").alias("cat_id")).agg(F.collect_set("dst").alias("linked"))
+    out = voronoi(caps, n, margin).join(caps.select("cat_id", "members"), "cat_id").join(linked, "cat_id", "left")
+    both, either = F.size(F.array_intersect("neighbours", "linked")), F.size(F.array_union("neighbours", "linked"))
+    overlap = F.when(either > 0, both / either).otherwise(1.0)
+    return out.withColumn("linked", F.coalesce("linked", F.array().cast("array<int>"))).select("cat_id", "area", "neighbours", F.when(F.col("area") > 1e-15, F.col("members") / F.col("area")).otherwise(0.0).alias("efficiency"), overlap.alias("graph_overlap"))
+
+
 def deviation(path: list[tuple[float, float, float]], spark: SparkSession) -> float:
     """The largest distance of a path's inner places from the arc of its ends."""
     if len(path) < 3:
@@ -156,15 +207,16 @@ def deviation(path: list[tuple[float, float, float]], spark: SparkSession) -> fl
     return inner.agg(F.max(F.expr(S.arc_distance(S.vec("u"), path[0], path[-1])))).first()[0]
 
 
-def full_report(points: DataFrame, caps: DataFrame, found: DataFrame, radius: float = 0.5, n: int = 100_000) -> dict[str, DataFrame]:
+def full_report(points: DataFrame, caps: DataFrame, found: DataFrame, graph: DataFrame, radius: float = 0.5, n: int = 100_000, top: int = 10) -> dict[str, DataFrame]:
     """All analyses of the navigator, one table each, computed when read."""
     return {
         "antipodal": antipodal(points, caps, radius),
         "coverage": coverage(caps, n),
         "caps": cap_areas(caps),
-        "voronoi": voronoi(caps, n),
+        "voronoi": voronoi_report(caps, graph, n),
         "overlaps": overlap_bridges(caps, found),
         "curvature": curvature(caps),
-        "lunes": lunes(found, points, caps),
+        "triples": top_triples(caps, top),
+        "lunes": lunes(found, points, caps).join(divergence(caps), ["a", "b"]),
         "void": void_distance(points, caps),
     }

@@ -2,12 +2,13 @@
 
 PCA is one distributed Gram aggregate and a small eigenproblem on the driver.  The
 kernel and Laplacian projections need all pairs of their training rows: they are
-fitted on at most ``cap`` rows, spread evenly by a hash of the ordinal, and applied
-to any number by Arrow.
+fitted on at most ``cap`` rows, spread evenly by a hash of the ordinal, with a
+warning when there are more, and applied to any number by Arrow.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.sources.points import from_cartesian, matrix
+from orrery.sources.tables import evaluated
 
 CAP = 10_000
 
@@ -39,31 +42,34 @@ def _oriented(v: np.ndarray) -> np.ndarray:
     return v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def gram(corpus: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sum and Gram matrix of the unit rows, summed on the executors."""
+def grams(corpus: DataFrame, key: str | None = None) -> dict:
+    """Number, sum and Gram matrix of the unit rows of each key, summed on the executors."""
 
     def run(batches):
-        n, s, g = 0, 0.0, 0.0
+        sums: dict = {}
         for batch in batches:
             if batch.num_rows:
-                x = _unit(_rows(batch.column(0)))
-                n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([g.ravel().tolist()])], names=["n", "s", "g"])
+                x, keys = _unit(_rows(batch.column(1))), np.array(batch.column(0).to_pylist(), dtype=object).astype(str)
+                for k in np.unique(keys):
+                    part = x[keys == k]
+                    n, s, g = sums.get(k, (0, 0.0, 0.0))
+                    sums[k] = n + len(part), s + part.sum(axis=0), g + part.T @ part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array([v if isinstance(v, int) else v.ravel().tolist() for v in c]) for c in zip(*sums.values(), strict=True))], names=["key", "n", "s", "g"])
 
     def add(t: pa.Table) -> pa.Table:
         s, g = (np.sum([x.as_py() for x in t[c]], axis=0).tolist() for c in ("s", "g"))
-        return pa.table({"n": pa.array([int(sum(t["n"].to_pylist()))]), "s": pa.array([s]), "g": pa.array([g])})
-
-    schema = "n long, s array<double>, g array<double>"
-    parts = corpus.select("embedding").mapInArrow(run, schema)
-    # A tree of sums: no task adds more than a few dozen matrices.
-    parts = parts.groupBy(F.pmod(F.xxhash64("n", "s"), F.lit(32)).alias("k")).applyInArrow(add, schema).groupBy(F.lit(0).alias("k")).applyInArrow(add, schema)
-    row = parts.first()
-    if row is None:
+        return pa.table({"key": t["key"].slice(0, 1), "n": pa.array([int(sum(t["n"].to_pylist()))]), "s": pa.array([s]), "g": pa.array([g])})
+
+    schema = "key string, n long, s array<double>, g array<double>"
+    name = F.col(key).cast("string") if key else F.lit("all")
+    parts = corpus.select(F.coalesce(name, F.lit("")).alias("key"), "embedding").mapInArrow(run, schema)
+    # A tree of sums: no task adds more than a few dozen matrices of a key.
+    parts = parts.groupBy("key", F.pmod(F.xxhash64("n", "s"), F.lit(32)).alias("k")).applyInArrow(add, schema).groupBy("key").applyInArrow(add, schema)
+    out = {r.key: (r.n, np.array(r.s), np.array(r.g).reshape(len(r.s), len(r.s))) for r in parts.collect()}
+    if not out:
         raise ValueError("nothing to fit on")
-    s = np.array(row.s)
-    return row.n, s, np.array(row.g).reshape(len(s), len(s))
+    return out
 
 
 @dataclass(frozen=True)
@@ -78,7 +84,10 @@ class Pca:
 
     @classmethod
     def fit(cls, corpus: DataFrame, volumetric: bool = True) -> Pca:
-        n, s, g = gram(corpus)
+        return cls.of(*grams(corpus)["all"], volumetric)
+
+    @classmethod
+    def of(cls, n: int, s: np.ndarray, g: np.ndarray, volumetric: bool = True) -> Pca:
         if n < 3:
             raise ValueError("at least 3 rows are needed")
         mean = s / n
@@ -98,7 +107,7 @@ class Pca:
         n = V.norm("embedding")
         unit = F.transform("embedding", lambda v: F.when(F.col("_n") > 0, v.cast("double") / F.col("_n")).otherwise(0.0))
         out = rows.withColumn("_n", n).withColumn("_c", F.zip_with(unit, V.constant(self.mean), lambda a, b: a - b))
-        out = out.withColumns({c: V.dot("_c", V.constant(a)) for c, a in zip("xyz", self.axes, strict=True)} | {"_t": V.dot("_c", "_c")})
+        out = evaluated(out, {c: V.dot("_c", V.constant(a)) for c, a in zip("xyz", self.axes, strict=True)} | {"_t": V.dot("_c", "_c")})
         kept = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
         out = out.withColumns({"proj_mag": F.sqrt(kept), "certainty": F.when(F.col("_t") > 1e-15, F.greatest(F.lit(0.0), F.least(F.lit(1.0), kept / F.col("_t")))).otherwise(1.0), "intensity": F.col("_n")})
         return out.drop("_n", "_c", "_t")
@@ -110,6 +119,8 @@ def _training(corpus: DataFrame, cap: int) -> np.ndarray:
     some = rows.orderBy("h").limit(cap).orderBy("ordinal").select("embedding").toArrow()
     if some.num_rows < 3:
         raise ValueError("at least 3 rows are needed")
+    if some.num_rows == cap and (n := corpus.count()) > cap:
+        warnings.warn(f"fitted on {cap} of {n} rows", stacklevel=3)
     return _unit(_rows(some.column(0).combine_chunks()))
 
 
@@ -155,6 +166,10 @@ class KernelPca:
     def explained(self) -> float:
         return float(self.values.sum() / self.total) if self.total > 2.2e-16 else 1.0
 
+    @property
+    def num_training_points(self) -> int:
+        return len(self.train)
+
     def transform(self, rows: DataFrame) -> DataFrame:
         m = rows.sparkSession.sparkContext.broadcast(self)
 
@@ -224,24 +239,78 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
+@dataclass(frozen=True)
+class Random:
+    """A fixed random projection: nothing is fitted, and nothing is known of what it keeps."""
+
+    axes: np.ndarray  # 3 x d
+
+    kind = "random"
+    explained = 1.0
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, seed: int = 42) -> Random:
+        dim = corpus.select(F.size("embedding")).first()[0]
+        return cls(matrix(dim, seed))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("_u", V.normalized("embedding"))
+        out = evaluated(out, {c: V.dot("_u", V.constant(a)) for c, a in zip("xyz", self.axes, strict=True)}).drop("_u")
+        return out.withColumns({"proj_mag": F.lit(1.0), "certainty": F.lit(1.0), "intensity": V.norm("embedding")})
+
+
 def fit(corpus: DataFrame, kind: str = "pca", **how):
-    """A fitted projection by its name."""
-    kinds = {"pca": Pca, "kernel_pca": KernelPca, "laplacian": Laplacian}
+    """A fitted projection by its name; all have ``kind``, ``explained`` and ``transform``."""
+    kinds = {"pca": Pca, "kernel_pca": KernelPca, "laplacian": Laplacian, "random": Random}
     if kind not in kinds:
         raise ValueError(f"no projection {kind!r}")
     return kinds[kind].fit(corpus, **how)
 
 
-def inner_models(corpus: DataFrame, min_rows: int = 20) -> DataFrame:
-    """``category, rows, inner_explained``: PCA within each category that is large enough."""
+@dataclass(frozen=True)
+class Inner:
+    """A projection of one category's rows that keeps more of them than the outer one."""
+
+    category: str
+    members: int
+    model: object
+    inner_explained: float
+    outer_explained: float
+
+    @property
+    def improvement(self) -> float:
+        return self.inner_explained - self.outer_explained
+
+
+def inner_models(corpus: DataFrame, certainty: DataFrame, min_rows: int = 20, min_gain: float = 0.10, kernel_rows: int = 80, kernel_gain: float = 0.05) -> dict[str, Inner]:
+    """The categories with at least ``min_rows`` whose own PCA explains ``min_gain`` more than the outer projection.
+
+    ``certainty`` has ``category, certainty`` of the outer one, whose mean it is held
+    against.  From ``kernel_rows`` on, a kernel PCA takes its place where it explains
+    ``kernel_gain`` more than that.  The Gram matrices of all categories come from one pass.
+    """
+    outer = {r.category: r.c for r in certainty.groupBy("category").agg(F.avg("certainty").alias("c")).collect()}
+    out = {}
+    for name, (n, s, g) in sorted(grams(corpus, "category").items()):
+        if n < max(min_rows, 3):
+            continue
+        model = Pca.of(n, s, g, volumetric=False)
+        explained = model.explained
+        if explained - outer.get(name, 0.0) < min_gain:
+            continue
+        if n >= kernel_rows:
+            kernel = KernelPca.fit(corpus.filter(F.col("category") == name))
+            if kernel.explained > explained + kernel_gain:
+                model, explained = kernel, kernel.explained
+        out[name] = Inner(name, n, model, explained, outer.get(name, 0.0))
+    return out
+
+
+def inner_stats(corpus: DataFrame, inner: dict[str, Inner]) -> DataFrame:
+    rows = [(m.category, m.members, m.model.kind, m.inner_explained, m.outer_explained, m.improvement) for m in inner.values()]
+    return corpus.sparkSession.createDataFrame(rows, "category string, members long, projection string, inner_explained double, outer_explained double, improvement double")
 
-    def run(t: pa.Table) -> pa.Table:
-        x = _unit(_rows(t["embedding"].combine_chunks()))
-        name = t["category"].slice(0, 1)
-        if len(x) < min_rows:
-            return pa.table({"category": name, "rows": pa.array([len(x)]), "inner_explained": pa.array([None], pa.float64())})
-        c = x - x.mean(axis=0)
-        v = np.linalg.svd(c, compute_uv=False) ** 2
-        return pa.table({"category": name, "rows": pa.array([len(x)]), "inner_explained": pa.array([float(v[:3].sum() / v.sum()) if v.sum() > 0 else 1.0])})
 
-    return corpus.select("category", "embedding").groupBy("category").applyInArrow(run, "category string, rows long, inner_explained double")
+def inner_points(corpus: DataFrame, inner: Inner) -> DataFrame:
+    """The rows of the category at unit distance in the directions of its own projection."""
+    return from_cartesian(inner.model.transform(corpus.filter(F.col("category") == inner.category)), "1.0D")

@@ -6,6 +6,7 @@ A point table has ``item_id, ordinal, category, r, theta, phi``, the direction
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import sphere as S
 from orrery.functions import vectors as V
+from orrery.operators.places import placed
+from orrery.sources.tables import evaluated
 
 GOLDEN, ROOT = 2.399963229728653, 0.41421356237309515
 
@@ -44,31 +47,22 @@ def from_cartesian(df: DataFrame, radius: str | None = None) -> DataFrame:
     With ``radius``, an expression, the point is moved out to that radius.
     """
     r, theta, phi = S.to_spherical(S.vec(""))
-    out = df.withColumns({"r": F.expr(r), "theta": F.expr(theta), "phi": F.expr(phi)})
-    if radius is not None:
-        out = out.withColumn("r", F.expr(radius))
-    return from_spherical(out)
+    return from_spherical(evaluated(df, {"r": F.expr(radius or r), "theta": F.expr(theta), "phi": F.expr(phi)}))
 
 
 def from_spherical(df: DataFrame) -> DataFrame:
-    out = df.withColumns(dict(zip(("ux", "uy", "uz"), map(F.expr, S.direction("theta", "phi")), strict=True)))
+    """Adds the direction and ``x, y, z`` to ``r, theta, phi``."""
+    out = evaluated(df, dict(zip(("ux", "uy", "uz"), map(F.expr, S.direction("theta", "phi")), strict=True)))
     return out.withColumns({c: F.col("r") * F.col(f"u{c}") for c in "xyz"})
 
 
-def axis_points(embeddings: DataFrame) -> DataFrame:
-    """The first three axes of each vector as a point."""
-    e = F.col("embedding")
-    rows = embeddings.select(F.concat(F.lit("v"), "vec_id").alias("item_id"), F.col("vec_id").alias("ordinal"), F.concat(F.lit("c"), "label").alias("category"), *(e[i].cast("double").alias(c) for i, c in enumerate("xyz")))
-    return from_cartesian(rows)
-
-
 def random_points(embeddings: DataFrame, seed: int = 42, dim: int = 64, keep_embedding: bool = False) -> DataFrame:
     """Each vector under a fixed random projection; the radius is the vector's length."""
     m = matrix(dim, seed)
     unit = V.normalized("embedding")
     rows = embeddings.select(F.concat(F.lit("v"), "vec_id").alias("item_id"), F.col("vec_id").alias("ordinal"), F.concat(F.lit("c"), "label").alias("category"), V.doubles("embedding").alias("embedding"))
     rows = rows.withColumn("magnitude", V.norm("embedding")).withColumn("_unit", unit)
-    rows = rows.withColumns({c: V.dot(V.constant(m[i]), "_unit") for i, c in enumerate("xyz")}).drop("_unit")
+    rows = evaluated(rows, {c: V.dot(V.constant(m[i]), "_unit") for i, c in enumerate("xyz")}).drop("_unit")
     return from_cartesian(rows if keep_embedding else rows.drop("embedding"), "magnitude")
 
 
@@ -81,10 +75,9 @@ def lattice_points(orders: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("ordinal"),
         F.col("o_orderpriority").alias("category"),
         F.expr("o_totalprice / 99991.0D").alias("r"),
-        F.expr(S.wrap(f"{k} * {GOLDEN!r}D")).alias("theta"),
-        F.expr(f"acos(1.0D - 2.0D * {part})").alias("phi"),
+        "o_orderkey",
     )
-    return from_spherical(rows)
+    return from_spherical(evaluated(rows, {"theta": F.expr(S.wrap(f"{k} * {GOLDEN!r}D")), "phi": F.expr(f"acos(1.0D - 2.0D * {part})")}).drop("o_orderkey"))
 
 
 def with_cells(points: DataFrame, shells: list[float], theta_parts: int = 12, phi_parts: int = 6) -> DataFrame:
@@ -123,6 +116,44 @@ def corpus_from_lists(spark: SparkSession, categories: list, embeddings) -> Data
     return spark.createDataFrame(data, "item_id string, ordinal long, category string, embedding array<double>")
 
 
+def corpus_from_rows(rows: DataFrame, item_id: str, category: str, embedding: str) -> DataFrame:
+    """Any table as a corpus, by the names of its columns; ordinals follow a hash of the ids."""
+    named = rows.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(category).cast("string"), F.lit("unknown")).alias("category"), V.doubles(embedding).alias("embedding"))
+    return placed(named.withColumn("_h", F.xxhash64("item_id")), [], "_h").select("item_id", F.col("place").cast("long").alias("ordinal"), "category", "embedding")
+
+
+def vector_from_json(text: str) -> list[float]:
+    """A query vector from a JSON array of finite numbers."""
+    found = json.loads(text)
+    if not isinstance(found, list) or not found or not all(isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) for x in found):
+        raise ValueError("a query vector is an array of finite numbers")
+    return [float(x) for x in found]
+
+
+def stress_corpus(spark: SparkSession, categories: int = 10, members: int = 30, dim: int = 128, seed: int = 42) -> DataFrame:
+    """A corpus to try things on: sparse categories that share some of their axes, and noise."""
+    rng = np.random.default_rng(seed)
+    names, rows = [], []
+    for c in range(categories):
+        axes = rng.choice(dim, 8, replace=False)
+        for _ in range(members):
+            v = rng.uniform(-0.04, 0.04, dim)
+            v[axes] += rng.uniform(0.5, 1.0, 8)
+            v[rng.choice(dim, 2)] += 0.4
+            names.append(f"category-{c}")
+            rows.append(v.tolist())
+    return corpus_from_lists(spark, names, rows)
+
+
+def placed_radius(radial, magnitude: str = "intensity") -> str:
+    """The radius of a point as an expression: ``"magnitude"``, a number, or a function of the magnitude's expression."""
+    return magnitude if radial == "magnitude" else radial(magnitude) if callable(radial) else f"CAST({float(radial)!r} AS DOUBLE)"
+
+
+def projected(points: DataFrame) -> DataFrame:
+    return points.select("item_id", "category", "x", "y", "z")
+
+
 def validate(corpus: DataFrame, min_rows: int = 3, min_norm: float = 1e-9) -> int:
     """The common dimension; one pass; ``ValueError`` for what cannot be projected."""
     n, lo, hi, shortest = corpus.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding")), F.min(V.norm("embedding"))).first()
@@ -161,8 +192,6 @@ def write_html(points: DataFrame, path: str, limit: int = 20000) -> None:
     rows = [r.asDict() for r in exported(points).limit(limit + 1).collect()]
     if len(rows) > limit:
         raise ValueError(f"more than {limit} points; aggregate or filter first")
-    import json
-
     page = (
         "<!doctype html><meta charset=utf-8><canvas id=c width=900 height=900></canvas><script>const P="
         + json.dumps(rows)
@@ -171,34 +200,3 @@ def write_html(points: DataFrame, path: str, limit: int = 20000) -> None:
     )
     with open(path, "w", encoding="utf-8") as f:
         f.write(page)
-
-
-# The same sources as SQL for engines whose lists count from 1.
-
-
-def _derived(rows: str, radius: str | None = None) -> str:
-    r, theta, phi = S.to_spherical(S.vec(""))
-    ux, uy, uz = S.direction("theta", "phi")
-    sph = f"SELECT * EXCLUDE (x, y, z), {radius or r} AS r, {theta} AS theta, {phi} AS phi FROM ({rows})"
-    return f"SELECT *, r * ux AS x, r * uy AS y, r * uz AS z FROM (SELECT *, {ux} AS ux, {uy} AS uy, {uz} AS uz FROM ({sph}))"
-
-
-def axis_sql() -> str:
-    return _derived("SELECT 'v' || vec_id AS item_id, vec_id AS ordinal, 'c' || label AS category, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings")
-
-
-def random_sql(seed: int = 42, dim: int = 64) -> str:
-    m = matrix(dim, seed)
-    axes = ", ".join(f"list_dot_product([{', '.join(f'{v!r}::DOUBLE' for v in m[i].tolist())}], unit) AS {c}" for i, c in enumerate("xyz"))
-    e = "SELECT 'v' || vec_id AS item_id, vec_id AS ordinal, 'c' || label AS category, embedding::DOUBLE[] AS embedding FROM embeddings"
-    n = f"SELECT *, sqrt(list_dot_product(embedding, embedding)) AS magnitude FROM ({e})"
-    u = f"SELECT *, list_transform(embedding, lambda v: v / magnitude) AS unit FROM ({n})"
-    return _derived(f"SELECT * EXCLUDE (unit), {axes} FROM ({u})", "magnitude")
-
-
-def lattice_sql() -> str:
-    k = "o_orderkey::DOUBLE"
-    part = f"({k} * {ROOT!r}::DOUBLE - floor({k} * {ROOT!r}::DOUBLE))"
-    sph = f"SELECT 'o' || o_orderkey AS item_id, o_orderkey AS ordinal, o_orderpriority AS category, o_totalprice / 99991.0::DOUBLE AS r, {S.wrap(f'{k} * {GOLDEN!r}::DOUBLE')} AS theta, acos(1.0::DOUBLE - 2.0::DOUBLE * {part}) AS phi FROM orders"
-    ux, uy, uz = S.direction("theta", "phi")
-    return f"SELECT *, r * ux AS x, r * uy AS y, r * uz AS z FROM (SELECT *, {ux} AS ux, {uy} AS uy, {uz} AS uz FROM ({sph}))"

@@ -7,6 +7,7 @@ where an item was before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orrery.functions import sphere as S
 from orrery.functions.regions import Region
 from orrery.sources.points import from_spherical
+from orrery.sources.tables import shared_dir
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -34,10 +37,10 @@ def spatial_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("u"), "user_id").alias("item_id"),
         F.expr("CASE event_type WHEN 'click' THEN 'entered' WHEN 'error' THEN 'left' ELSE 'moved' END").alias("event_type"),
         (F.col("value") / 10).alias("r"),
-        F.expr(f"value / 100.0D * 6.0D + 0.0D * {k}").alias("theta"),
+        F.expr(S.wrap("value / 100.0D * 6.0D")).alias("theta"),
         F.expr(f"acos(1.0D - 2.0D * ({k} * 0.6180339887498949D - floor({k} * 0.6180339887498949D)))").alias("phi"),
     )
-    return from_spherical(rows.filter("theta >= 0 and theta < 6.283185307179586"))
+    return from_spherical(rows)
 
 
 def entered(events: DataFrame, region: Region) -> DataFrame:
@@ -51,29 +54,53 @@ def left(events: DataFrame, region: Region) -> DataFrame:
 def transitions(events: DataFrame, region: Region, delay: str = "1 hour", forget_ms: int = 86_400_000) -> DataFrame:
     """``item_id, ts, change``: where an item's last known side of the border changes.
 
-    An item's state is dropped after a day without events.
+    Events wait until the watermark has passed them, and are then taken in the order
+    of their times (and ids, where these are equal), so that an event which comes late,
+    by up to ``delay``, is judged in its place.  An item's state is dropped after a
+    day of event time without events.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        was, ts, ids, inside = state.get if state.exists else (False, [], [], [])
+        held = list(zip(ts, ids, inside, strict=True))
+        for rows in batches:
+            held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["inside"].tolist(), strict=True)
+        held.sort()
+        mark, out = state.getCurrentWatermarkMs(), []
+        ready = [h for h in held if h[0] <= mark * 1000]
+        for at, _, now in ready:
+            if now != was:
+                out.append((key[0], pd.Timestamp(at, unit="us"), "entered" if now else "left"))
+                was = bool(now)
+        rest = held[len(ready) :]
+        if state.hasTimedOut and not held:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        was = state.get[0] if state.exists else False
-        out = []
-        for ts, inside in zip(rows["ts"], rows["inside"], strict=True):
-            if inside != was:
-                out.append((key[0], ts, "entered" if inside else "left"))
-                was = bool(inside)
-        state.update((was,))
-        state.setTimeoutDuration(forget_ms)
+        else:
+            state.update((was, [h[0] for h in rest], [h[1] for h in rest], [bool(h[2]) for h in rest]))
+            state.setTimeoutTimestamp(max(mark + 1, rest[0][0] // 1000 if rest else mark + forget_ms))
         yield pd.DataFrame(out, columns=["item_id", "ts", "change"])
 
-    rows = events.select("item_id", F.col("ts").cast("timestamp").alias("ts"), region.column().alias("inside")).withWatermark("ts", delay)
-    return rows.groupBy("item_id").applyInPandasWithState(step, "item_id string, ts timestamp, change string", "inside boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("item_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), region.column().alias("inside")).withWatermark("ts", delay)
+    return rows.groupBy("item_id").applyInPandasWithState(step, "item_id string, ts timestamp, change string", "was boolean, ts array<long>, ids array<long>, inside array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, region: Region, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     """Events in the region by window and type, with late data up to ``delay``."""
     rows = events.filter(region.column()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"))
+
+
+def finished(stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
+    """What a stream gives for all that is there now, as a table in the shared folder.
+
+    ``complete`` is for aggregates: the table has their last state.
+    """
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/orrery/streams/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}-checkpoint")
+    if complete:
+        last = lambda batch, _: batch.write.mode("overwrite").parquet(at)
+        writer.outputMode("complete").foreachBatch(last).start().awaitTermination()
+    else:
+        writer.format("parquet").option("path", at).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(at)

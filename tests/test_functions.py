@@ -83,7 +83,7 @@ def test_arc_distance(spark):
 
 def test_quality_and_bridges(spark):
     text = lambda e: spark.range(1).select(F.expr(e)).first()[0]
-    assert [text(S.quality_level(str(x))) for x in (0.1, 0.03, 0.005, 0.001)] == ["high", "moderate", "low", "unreliable"]
+    assert [text(S.quality_level(str(x))) for x in (0.11, 0.1, 0.03, 0.005)] == ["high", "moderate", "low", "unreliable"]
     assert value(spark, S.bridge_threshold("0.5", "0.5", "0.4")) == pytest.approx(0.6)
     assert value(spark, S.territorial("0.0", "1.0")) == 0.05
     assert value(spark, S.hop_weight("1.0", "0.4", "'genuine'")) == pytest.approx(2.0)

@@ -26,18 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.common import cut, sized
+
 SHARDS = 64
+#: Rows of a group beyond which they are told their shard by broadcast.
+HOT = 50_000
 
 
 def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each size (falling), how many of its groups each shard gets; the loads."""
-    load = [0] * shards
-    out = np.zeros((len(sizes), shards), dtype=np.int64)
+    """Rows ``size's place, shard, groups`` of all shards that get groups of a size (sizes fall); the loads."""
+    load, out = [0] * shards, []
     for k, (s, c) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
         if s == 0:
             # Loads stay as they are: all of them go to the least loaded shard.
-            out[k, load.index(min(load))] = c
+            out.append((k, load.index(min(load)), c))
             continue
+        got: dict[int, int] = {}
         if c > 4 * shards:
             # The highest level to which fewer than c places begin below it.
             lo, hi = min(load), max(load) + s * c
@@ -50,7 +54,7 @@ def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.nda
             for i, x in enumerate(load):
                 if x < lo:
                     n = (lo - x + s - 1) // s
-                    out[k, i] += n
+                    got[i] = n
                     load[i] += n * s
                     c -= n
         heap = [(x, i) for i, x in enumerate(load)]
@@ -58,9 +62,10 @@ def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.nda
         for _ in range(c):
             x, i = heap[0]
             heapq.heapreplace(heap, (x + s, i))
-            out[k, i] += 1
+            got[i] = got.get(i, 0) + 1
             load[i] = x + s
-    return out, np.array(load)
+        out += [(k, i, n) for i, n in sorted(got.items())]
+    return np.array(out, dtype=np.int64).reshape(-1, 3), np.array(load)
 
 
 def shard(docs: DataFrame, key: Column, size: Column, shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:
@@ -69,13 +74,15 @@ def shard(docs: DataFrame, key: Column, size: Column, shards: int = SHARDS, id_c
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), key.cast("string").alias("group_key"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("_size"))
-    sizes = rows.groupBy("group_key").agg(F.sum("_size").alias("_total")).withColumn("_slot", F.coalesce(F.substring("group_key", 1, 2), F.lit("")))
+    # Keys are hashed and groups summed once; all that follows reads these tables.
+    rows = cut(spark, rows, "keyed")
+    sizes = rows.groupBy("group_key").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows"))
+    sizes = cut(spark, sizes.withColumn("_slot", F.coalesce(F.substring("group_key", 1, 2), F.lit(""))), "groups")
     slots = sizes.groupBy("_total", "_slot").agg(F.count("*").alias("c"))
     hist = slots.groupBy("_total").agg(F.sum("c").alias("c")).orderBy(F.desc("_total")).toPandas()
     plan, _ = schedule(hist["_total"].to_numpy(np.int64), hist["c"].to_numpy(np.int64), shards)
     # Of each size only the shards that get any, with the rank up to which they do.
-    k, i = np.nonzero(plan)
-    turn = pd.DataFrame({"_total": hist["_total"].to_numpy(np.int64)[k], "shard": i.astype(np.int32), "n": plan[k, i]})
+    turn = pd.DataFrame({"_total": hist["_total"].to_numpy(np.int64)[plan[:, 0]], "shard": plan[:, 1].astype(np.int32), "n": plan[:, 2]})
     turn["upto"] = turn.groupby("_total")["n"].cumsum()
     places = turn.groupby("_total").agg(upto=("upto", list), shards=("shard", list)).reset_index()
     if not len(places):
@@ -86,5 +93,10 @@ def shard(docs: DataFrame, key: Column, size: Column, shards: int = SHARDS, id_c
     rank = F.row_number().over(W.partitionBy("_total", "_slot").orderBy(F.col("group_key").asc_nulls_first()))
     ranked = sizes.withColumn("_k", rank).join(before, ["_total", "_slot"]).join(places, "_total")
     spot = F.size(F.filter("upto", lambda u: u < F.col("_before") + F.col("_k"))) + 1
-    placed = ranked.select(F.col("group_key").alias("_g"), F.element_at("shards", spot).alias("shard"))
-    return rows.join(placed, rows["group_key"].eqNullSafe(placed["_g"])).select("doc_id", "group_key", "shard")
+    placed = cut(spark, ranked.select(F.col("group_key").alias("_g"), F.element_at("shards", spot).cast("int").alias("_to"), "_rows"), "placed")
+    # The rows of a very large group stay where they are.
+    hot = sized(spark, placed.filter(F.col("_rows") > HOT), "hot")
+    named = rows.join(hot, rows["group_key"].eqNullSafe(hot["_g"]), "left").select("doc_id", "group_key", F.col("_to").alias("shard"))
+    rest, cold = named.filter("shard is null").select("doc_id", "group_key"), placed.filter(F.col("_rows") <= HOT)
+    rest = rest.join(cold, rest["group_key"].eqNullSafe(cold["_g"])).select("doc_id", "group_key", F.col("_to").alias("shard"))
+    return named.filter("shard is not null").union(rest)

@@ -218,12 +218,14 @@ def test_schedule_equals_one_by_one():
         sizes = np.sort(rng.choice(50, 6, replace=False))[::-1].astype(np.int64)
         counts = rng.integers(1, 120, 6).astype(np.int64)
         plan, load = S.schedule(sizes, counts, 5)
-        assert (plan.sum(axis=1) == counts).all()
+        assert (np.bincount(plan[:, 0], weights=plan[:, 2]) == counts).all()
         want = one_by_one(np.repeat(sizes, counts).tolist(), 5)
         assert load.tolist() == [x for x, _ in want]
 
 
-def test_shards_keep_groups_together(documents, odd, nothing):
+@pytest.mark.parametrize("hot", [S.HOT, 3])
+def test_shards_keep_groups_together(monkeypatch, documents, odd, nothing, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     docs = documents([(i, f"text {i % 40}" * (i % 7 + 1), "en", "s", 1) for i in range(300)])
     rows = S.shard(docs, F.md5("text"), F.length("text"), 4).collect()
     assert len(rows) == 300

@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-
-#: Folders made for sessions without the setting, by application.
-_own: dict[str, str] = {}
-#: Tables written by ``cut``, in order.
-_written: list[str] = []
+from orrery.sources import tables
+from orrery.sources.tables import release, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is absent in local mode (tests) a temporary folder is made
-    once for the application; on a cluster that would be another folder for each
-    machine, so there its absence is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="orrery-")
-    return base.rstrip("/")
-
-
-#: Rows of a side that is broadcast; a larger one is left to the planner.
-SMALL_ROWS = 100_000
 BATCH = "4m"
 
 
@@ -53,10 +31,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
+def tidy() -> None:
+    """Gives back what a worker holds on to after a task's last batch, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def sized(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """A side of a join, written once; broadcast if it has at most ``SMALL_ROWS`` rows."""
-    table = cut(spark, df, name)
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+    return tables.sized(df, name)
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -65,28 +48,7 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage with data that outlive any executor: a lost executor
     costs the tasks it ran and nothing upstream of the table.
     """
-    path = f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written() -> int:
-    """A mark for ``release``: how many tables ``cut`` has written so far."""
-    return len(_written)
-
-
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete the tables that ``cut`` wrote between two marks; without marks, all of the application.
-
-    Results that still have to be read must not depend on them.
-    """
-    gone = _written[since:until]
-    if since == 0 and until is None:
-        gone = [f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"]
-    for name in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return tables.once(df, name)
 
 
 def kind_of(df: DataFrame, column: str) -> pa.DataType:
@@ -98,10 +60,15 @@ def kind_of(df: DataFrame, column: str) -> pa.DataType:
 BITS = 1 << 25
 
 
+def _words(ids: DataFrame) -> DataFrame:
+    """``w, v``: the words of 64 bits, with a bit for each hash of a ``doc_id``, that are not empty."""
+    bit = id_bit("doc_id")
+    return ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+
+
 def ids_bitmap(ids: DataFrame) -> np.ndarray:
     """A bit for each hash of a ``doc_id``: of fixed size, whatever the corpus."""
-    bit = id_bit("doc_id")
-    rows = ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    rows = _words(ids).toPandas()
     out = np.zeros(BITS // 64, dtype=np.int64)
     out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out
@@ -115,17 +82,18 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: rows whose ``doc_id`` surely is not in ``ids``, a written table, and the others.
 
     Told by a bitmap of the ids where the rows are read, so that few texts move when
-    the others are joined.
+    the others are joined.  The bitmap is broadcast as a table of its words, of which
+    there are at most ``BITS / 64``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ids_bitmap(ids))
-
-    @F.pandas_udf("boolean")
-    def listed(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    hit = listed(id_bit("doc_id"))
-    return docs.filter(~hit), docs.filter(hit)
+    names, word, bits = docs.columns, "_word", "_bits"
+    while {word, bits} & {n.lower() for n in names}:
+        word, bits = word + "_", bits + "_"
+    words = F.broadcast(cut(docs.sparkSession, _words(ids).toDF(word, bits), "bitmap"))
+    bit = id_bit("doc_id")
+    told = docs.join(words, F.shiftright(bit, 6).cast("int") == F.col(word), "left")
+    hit = F.coalesce(F.call_function("shiftright", bits, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [docs[n] for n in names]
+    return told.filter(~hit).select(*columns), told.filter(hit).select(*columns)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

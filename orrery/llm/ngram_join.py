@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut, id_bit, ids_bitmap, kind_of, sized, small_batches, without
+from orrery.llm.common import cut, id_bit, ids_bitmap, kind_of, sized, small_batches, tidy, without
 
 N, THRESHOLD = 3, 0.6
 #: Shared grams that two prefixes must have, unless the sets themselves are smaller.
@@ -56,11 +56,13 @@ _CHUNK = 1 << 14
 #: Sets of a gram's run that are compared in one block; longer runs are cut into tiles.
 TILE = 1024
 #: Members, and grams of their sets, beyond which the pairs of a leader are verified in several blocks.
-BLOCK, BLOCK_GRAMS = 2048, 1 << 21
+BLOCK, BLOCK_GRAMS = 2048, 1 << 20
 #: Copies of a set beyond which its rows are joined by broadcast, as one task should not have them all.
 HOT = 50_000
 #: Signatures that a task remembers, so as to send the prefix of a set once.
-_SEEN = 1 << 18
+_SEEN = 1 << 17
+#: Grams of other sets that one is compared with at a time.
+_COMPARED = 1 << 18
 _EPS = 1e-9
 
 
@@ -117,6 +119,8 @@ def survey(docs: DataFrame, n: int = N) -> DataFrame:
         parts = [(k, squeeze(total[k * _CHUNK : (k + 1) * _CHUNK].tobytes())) for k in range(BUCKETS // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         none = pa.nulls(len(parts))
         yield pa.RecordBatch.from_arrays([none.cast(arrow), none.cast(pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        del total, parts
+        tidy()
 
     return rows.mapInArrow(run, f"doc_id {kind}, sig long, k int, counts binary")
 
@@ -321,14 +325,15 @@ def candidates(index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for part in _runs(table, threshold):
                 parts.append(part)
                 held += len(part[0])
-                if held > 1 << 20:
+                if held > 1 << 19:
                     parts = [_gathered(parts)]
                     held = len(parts[0][0])
-                    if held > 1 << 19:
+                    if held > 1 << 18:
                         yield emit(parts)
                         parts, held = [], 0
         if parts:
             yield emit(parts)
+        tidy()
 
     blocks = _blocks(index.sparkSession, index).repartition("block").sortWithinPartitions("block", "gram", "size", "sig")
     pairs = blocks.mapInArrow(run, "a long, b long, c int, rest int, sa int, sb int").groupBy("a", "b")
@@ -350,12 +355,9 @@ class _Block:
         self.sig = np.array([m[0] for m in once], dtype=np.int64)
         self.ids = [m[1] for m in once]
         self.copies = np.array([m[2] for m in once], dtype=np.int64)
-        sets = [m[3] for m in once]
-        self.size = np.array([len(g) for g in sets], dtype=np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.grams = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        self.ranges = np.bincount(owner * 64 + (self.grams >> 42), minlength=64 * len(sets)).reshape(-1, 64).astype(np.int32)
+        self.sets, self.members = [m[3] for m in once], []
+        self.size = np.array([len(g) for g in self.sets], dtype=np.int64)
+        self.ranges = np.stack([np.bincount(g >> 42, minlength=64) for g in self.sets]).astype(np.int32)
         self.by_id = sorted(range(len(once)), key=lambda k: self.ids[k])
         self.label = np.empty(len(once), dtype=np.int64)
         self.label[self.by_id] = np.arange(len(once))
@@ -372,15 +374,19 @@ class _Block:
         shared = np.zeros(len(x), dtype=np.int64)
         edge = np.flatnonzero(np.concatenate([x[:1] >= 0, x[1:] != x[:-1]]))
         for s, e in zip(edge, np.append(edge[1:], len(x)), strict=False):
-            mine = self.grams[self.at[x[s]] : self.at[x[s] + 1]]
-            for k in range(s, e, 256):
-                other = y[k : min(k + 256, e)]
+            mine, k = self.sets[x[s]], int(s)
+            upto = np.cumsum(self.size[y[s:e]])
+            while k < e:
+                done = upto[k - s - 1] if k > s else 0
+                stop = max(k + 1, int(s + np.searchsorted(upto, done + _COMPARED, side="right")))
+                other = y[k:stop]
                 n = self.size[other]
                 begin = np.cumsum(n) - n
-                theirs = self.grams[np.arange(n.sum()) + np.repeat(self.at[other] - begin, n)]
+                theirs = np.concatenate([self.sets[i] for i in other])
                 place = np.searchsorted(mine, theirs)
                 place[place == len(mine)] = 0
-                shared[k : k + len(other)] = np.add.reduceat((mine[place] == theirs).astype(np.int64), begin)
+                shared[k:stop] = np.add.reduceat((mine[place] == theirs).astype(np.int64), begin)
+                k = stop
         jaccard = shared / (self.size[x] + self.size[y] - shared)
         good = jaccard >= threshold
         return x[good], y[good], jaccard[good]
@@ -439,6 +445,7 @@ def _verified(threshold: float, arrow: pa.DataType, as_pairs: bool):
                     wide[:, :6] = six
                     block.members.append((sig, id_, copies, wide.view(np.int64).ravel()))
         yield from done(block)
+        tidy()
 
     return run
 

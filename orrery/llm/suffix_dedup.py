@@ -40,11 +40,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import textops
-from orrery.llm.common import cut, parted, sized, small_batches
+from orrery.llm.common import cut, parted, sized, small_batches, tidy
 
 LENGTH, K = 50, 10
 #: Suffixes with the same first words that one task sorts; beyond, windows are counted.
-HOT = 1 << 14
+HOT = 1 << 13
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -149,8 +149,8 @@ def suffixes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 take = _wanted(batch, i, j, p - first[row], row)
                 p, key, q1, q2, row = p[take], key[take], q1[take], q2[take], row[take]
                 small = (h >> np.uint64(32)).astype(np.uint32)
-                for a in range(0, len(p), 1 << 14):
-                    b = min(a + (1 << 14), len(p))
+                for a in range(0, len(p), 1 << 12):
+                    b = min(a + (1 << 12), len(p))
                     mid = p[a:b, None]
                     right, left = mid + np.arange(length), mid - 1 - np.arange(reach)
                     r_ok, l_ok = right < first[row[a:b] + 1][:, None], left >= first[row[a:b]][:, None]
@@ -238,6 +238,16 @@ def _compare(table: pa.Table, length: int, k: int):
     yield _spans(later, doc, ids, at, True, length)
 
 
+def _pieces(key: np.ndarray, most: int = 4096):
+    """Slices of whole runs of equal keys, of about ``most`` rows where runs are shorter."""
+    edge = np.append(np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]])), len(key))
+    a = 0
+    while a < len(key):
+        b = int(edge[max(np.searchsorted(edge, a + most, side="right") - 1, np.searchsorted(edge, a, side="right"))])
+        yield a, b
+        a = b
+
+
 def _neighbours(length: int, k: int):
     def run(batches):
         rest = None
@@ -248,9 +258,11 @@ def _neighbours(length: int, k: int):
             key = table.column(0).to_numpy()
             at = int(np.searchsorted(key, key[-1])) if len(key) else 0
             rest = table.slice(at)
-            yield from (x for x in _compare(table.slice(0, at), length, k) if x is not None)
+            for a, b in _pieces(key[:at]):
+                yield from (x for x in _compare(table.slice(a, b - a), length, k) if x is not None)
         if rest is not None:
             yield from (x for x in _compare(rest, length, k) if x is not None)
+        tidy()
 
     return run
 

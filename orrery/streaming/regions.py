@@ -67,7 +67,7 @@ def transitions(events: DataFrame, region: Region, delay: str = "1 hour", forget
             held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["inside"].tolist(), strict=True)
         held.sort()
         mark, out = state.getCurrentWatermarkMs(), []
-        ready = [h for h in held if h[0] <= mark * 1000]
+        ready = [h for h in held if h[0] // 1000 <= mark]  # the watermark has milliseconds
         for at, _, now in ready:
             if now != was:
                 out.append((key[0], pd.Timestamp(at, unit="us"), "entered" if now else "left"))

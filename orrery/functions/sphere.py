@@ -179,11 +179,11 @@ def arc_distance(p: Vec, a, b) -> str:
         return angular(p, la)
     ln = literal([x / size for x in n])
     s = dot(p, ln)
-    # The foot of the perpendicular is p - s n; n is at right angles to both ends.
+    # The foot of the perpendicular is p - s n, inside between the planes through n and an end.
     f = f"sqrt(greatest(0.0, 1.0 - {s} * {s}))"
     ends = f"least({angular(p, la)}, {angular(p, lb)})"
-    edge = num(sum(x * y for x, y in zip(a, b, strict=True)) - 1e-10)
-    on = f"{dot(p, la)} / {f} >= {edge} AND {dot(p, lb)} / {f} >= {edge}"
+    side = lambda u, v: literal([(u[i] * v[j] - u[j] * v[i]) / size for i, j in ((1, 2), (2, 0), (0, 1))])
+    on = f"{dot(p, side(n, a))} >= 0.0 AND {dot(p, side(b, n))} >= 0.0"
     return f"(CASE WHEN {f} < 1e-15 THEN {ends} WHEN {on} THEN abs({num(math.pi / 2)} - acos(least(1.0, abs({s})))) ELSE {ends} END)"
 
 

@@ -72,6 +72,18 @@ def test_caps_and_triangles(spark):
     assert value(spark, S.excess("0.4", "0.4", "0.8")) == pytest.approx(0, abs=1e-6)
 
 
+def test_arc_distance_of_long_arcs(spark):
+    """The far side of the great circle is within 120 degrees and more of both ends, and yet not on the arc."""
+    for length in (1.0, 2.0, 2.5, 3.0):
+        a, b = unit(0.0, math.pi / 2), unit(length, math.pi / 2)
+        t = np.linspace(0, length, 2000)
+        arc = np.stack([np.cos(t), np.sin(t), 0 * t], axis=1)
+        places = np.array([unit(x, y) for x in np.arange(0.1, 6.2, 0.7) for y in (1.2, math.pi / 2, 2.5)])
+        rows = spark.createDataFrame([tuple(map(float, p)) for p in places], "ux double, uy double, uz double")
+        got = [r.d for r in rows.select(F.expr(S.arc_distance(S.vec("u"), a, b)).alias("d")).collect()]
+        np.testing.assert_allclose(got, np.arccos(np.clip(places @ arc.T, -1, 1)).min(axis=1), atol=2e-3)
+
+
 def test_arc_distance(spark):
     a, b = unit(0, math.pi / 2), unit(1.0, math.pi / 2)
     d = lambda t, p: value(spark, S.arc_distance(S.literal(unit(t, p)), a, b))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import blocks, knn
+from orrery.operators import knn, sums
 from orrery.sources.tables import once
 
 # Features --------------------------------------------------------------------------
@@ -87,9 +87,7 @@ def modularity(points: DataFrame, k: int = 15) -> DataFrame:
 
 def category_silhouette(points: DataFrame) -> DataFrame:
     """(mean silhouette + 1) / 2 over categories of at least two, by angular distance; 1 where nothing can be scored."""
-    means = blocks.label_means(points, "category")
-    own = F.col("own") == F.col("other")
-    per = means.groupBy("ordinal").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b")).filter("a is not null and b is not null")
+    per = sums.own_and_next(points, "category").filter("a is not null and b is not null")
     s = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(2.220446049250313e-16))
     return per.agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg(s) + 1) / 2)), F.lit(1.0)).alias("silhouette"))
 

@@ -210,50 +210,3 @@ def close_pairs(points: DataFrame, angle: float) -> DataFrame:
 
     visits = _visits(rows.withColumn("radius", F.lit(float(radius))), tree, "radius")
     return visits.groupBy("leaf").applyInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("close_pairs"))
-
-
-def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows`` for each ordered pair ``a, b`` of blocks: those of ``a`` as ``side`` 0, those of ``b`` as 1.
-
-    Rows are cut into blocks of about ``size`` by a hash of ``key``; the groups
-    ``(a, b)`` hold two blocks each, so that a measure that is defined over all pairs
-    can be summed a bounded group at a time.
-    """
-    n = max(1, -(-rows.count() // size))
-    rows = rows.withColumns({"own": F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
-    rows = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    return rows.withColumns({"a": F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), "b": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))}).drop("own", "other")
-
-
-def label_means(points: DataFrame, *labels: str) -> DataFrame:
-    """``label, ordinal, own, other, n, mean``: each point's mean angle to the others that have every value of a label.
-
-    ``label`` counts the columns ``labels`` from 0; the angles are computed once for all of them.
-    """
-    every = F.array(*[F.col(c).cast("string") for c in labels]).alias("labels")
-    rows = in_blocks(points.select("ordinal", every, *_XYZ), "ordinal", 2048)
-
-    def angles(t: pa.Table) -> pa.Table:
-        second = t["side"].to_numpy() == 1
-        ids, x = _arrays(t)
-        given = np.array(t["labels"].to_pylist(), dtype=object).reshape(len(x), len(labels)).astype(str)
-        mine, theirs = np.flatnonzero(~second), np.flatnonzero(second)
-        sets = [np.unique(given[:, c], return_inverse=True) for c in range(len(labels))]
-        hot = [np.equal.outer(code[theirs], np.arange(len(names))).astype(float) for names, code in sets]
-        out = [np.zeros((len(mine), len(names))) for names, _ in sets]
-        for a in range(0, len(mine), 256):
-            p, q = x[mine[a : a + 256]], x[theirs]
-            d = np.arctan2(np.sqrt(sum(np.square(np.outer(p[:, u], q[:, v]) - np.outer(p[:, v], q[:, u])) for u, v in ((1, 2), (2, 0), (0, 1)))), p @ q.T)
-            d[ids[mine[a : a + 256], None] == ids[theirs][None]] = 0
-            for c, h in enumerate(hot):
-                out[c][a : a + 256] = d @ h
-        tables = []
-        for c, (names, code) in enumerate(sets):
-            i, k = np.nonzero(np.ones_like(out[c], dtype=bool))
-            tables.append(pa.table({"label": pa.array(np.full(len(i), c), pa.int32()), "ordinal": ids[mine][i], "own": names[code[mine][i]].tolist(), "other": names[k].tolist(), "s": out[c][i, k]}))
-        return pa.concat_tables(tables)
-
-    sums = rows.groupBy("a", "b").applyInArrow(angles, "label int, ordinal long, own string, other string, s double").groupBy("label", "ordinal", "own", "other").agg(F.sum("s").alias("s"))
-    size = points.select(F.posexplode(every)).groupBy(F.col("pos").alias("label"), F.col("col").alias("other")).agg(F.count("*").alias("n"))
-    n = F.when(F.col("own") == F.col("other"), F.col("n") - 1).otherwise(F.col("n"))
-    return sums.join(size, ["label", "other"]).select("label", "ordinal", "own", "other", n.alias("n"), F.when(n > 0, F.col("s") / F.greatest(n, F.lit(1))).alias("mean"))

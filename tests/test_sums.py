@@ -3,6 +3,7 @@ import pytest
 
 from orrery.operators import clusters as K
 from orrery.operators import knn as N
+from orrery.operators import projections as J
 from orrery.operators import sums as Z
 
 
@@ -89,3 +90,20 @@ def test_jaccard_edges_equal_brute_force_and_make_no_pairs(monkeypatch, spark, b
         both, union = (x & x[i]).sum(axis=1), (x | x[i]).sum(axis=1)
         want = sorted((-both[j] / union[j], -3 * j) for j in range(700) if j != i and both[j])[:4]
         assert sorted(got.get(3 * i, [])) == want
+
+
+@pytest.mark.parametrize("kind", [J.KernelPca, J.Laplacian])
+def test_fits_in_blocks_equal_those_in_one_place(monkeypatch, spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 12)) * np.linspace(2, 1, 12)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ordinal long, embedding array<double>")
+    fit = (lambda: kind.fit(corpus)) if kind is J.KernelPca else lambda: kind.fit(corpus, threshold=0.25)
+    whole = fit()
+    for name, v in (("DENSE", 10), ("ROWS", 128), ("COLUMNS", 256)):
+        monkeypatch.setattr(J, name, v)
+    parts = fit()
+    assert parts.values == pytest.approx(whole.values, rel=1e-9)
+    at = lambda m: m.transform(corpus).orderBy("ordinal").select("x", "y", "z", "certainty").toPandas().to_numpy()
+    np.testing.assert_allclose(at(parts), at(whole), atol=2e-7)
+    if kind is J.KernelPca:
+        assert parts.sigma == pytest.approx(whole.sigma, abs=1e-12) and parts.total == pytest.approx(whole.total)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from orrery.functions.regions import Region
 from orrery.sources.points import from_spherical
 from orrery.sources.tables import shared_dir
 
+#: States that items share in ``transitions``.
+GROUPS = 512
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -57,31 +61,52 @@ def transitions(events: DataFrame, region: Region, delay: str = "1 hour", forget
     Events wait until the watermark has passed them, and are then taken in the order
     of their times (and ids, where these are equal), so that an event which comes late,
     by up to ``delay``, is judged in its place.  An item's state is dropped after a
-    day of event time without events.
+    day of event time without events.  Items share ``GROUPS`` states, so that the calls
+    of Python do not grow with the items.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was, ts, ids, inside = state.get if state.exists else (False, [], [], [])
-        held = list(zip(ts, ids, inside, strict=True))
+        names, was, until, who, ts, ids, inside = state.get if state.exists else ([],) * 7
+        mark, place = state.getCurrentWatermarkMs(), {n: i for i, n in enumerate(names)}
+        who, ts, ids, inside = ([np.array(v, kind)] for v, kind in ((who, np.int64), (ts, np.int64), (ids, np.int64), (inside, bool)))
         for rows in batches:
-            held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["inside"].tolist(), strict=True)
-        held.sort()
-        mark, out = state.getCurrentWatermarkMs(), []
-        ready = [h for h in held if h[0] // 1000 <= mark]  # the watermark has milliseconds
-        for at, _, now in ready:
-            if now != was:
-                out.append((key[0], pd.Timestamp(at, unit="us"), "entered" if now else "left"))
-                was = bool(now)
-        rest = held[len(ready) :]
-        if state.hasTimedOut and not held:
-            state.remove()
+            codes, found = pd.factorize(rows["item_id"])
+            who.append(np.array([place.setdefault(n, len(place)) for n in found], np.int64)[codes])
+            ts.append(rows["ts"].astype("datetime64[us]").astype("int64").to_numpy())
+            ids.append(rows["event_id"].to_numpy())
+            inside.append(rows["inside"].to_numpy(bool))
+        touched = np.zeros(len(place), bool)
+        touched[np.concatenate(who[1:] or who)] = True
+        names, more = np.array(list(place), dtype=object), len(place) - len(names)
+        was, until = np.append(np.array(was, bool), np.zeros(more, bool)), np.append(np.array(until, np.int64), np.zeros(more, np.int64))
+        who, ts, ids, inside = map(np.concatenate, (who, ts, ids, inside))
+        order = np.lexsort((inside, ids, ts, who))
+        ready = ts[order] // 1000 <= mark  # the watermark has milliseconds
+        now, rest = order[ready], order[~ready]
+        item, side = who[now], inside[now]
+        first = np.append(True, item[1:] != item[:-1])[: len(item)]
+        before = np.where(first, was[item], np.append(False, side[:-1])[: len(item)])
+        out = now[side != before]
+        change = pd.DataFrame({"item_id": names[who[out]], "ts": pd.to_datetime(ts[out], unit="us"), "change": np.where(inside[out], "entered", "left").astype(object)})
+        last = np.append(first[1:], True)[: len(item)]
+        was[item[last]] = side[last]
+        touched[item] = True
+        until[touched] = mark + forget_ms
+        waits = np.zeros(len(place), bool)
+        waits[who[rest]] = True
+        keep = waits | touched | (until >= mark)
+        if keep.any():
+            number = np.cumsum(keep) - 1
+            state.update((names[keep].tolist(), was[keep].tolist(), until[keep].tolist(), number[who[rest]].tolist(), ts[rest].tolist(), ids[rest].tolist(), inside[rest].tolist()))
+            state.setTimeoutTimestamp(int(max(mark + 1, min([*until[keep & ~waits], *(ts[rest] // 1000)]))))
         else:
-            state.update((was, [h[0] for h in rest], [h[1] for h in rest], [bool(h[2]) for h in rest]))
-            state.setTimeoutTimestamp(max(mark + 1, rest[0][0] // 1000 if rest else mark + forget_ms))
-        yield pd.DataFrame(out, columns=["item_id", "ts", "change"])
+            state.remove()
+        if len(change):
+            yield change
 
     rows = events.select("item_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), region.column().alias("inside")).withWatermark("ts", delay)
-    return rows.groupBy("item_id").applyInPandasWithState(step, "item_id string, ts timestamp, change string", "was boolean, ts array<long>, ids array<long>, inside array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "names array<string>, was array<boolean>, until array<long>, who array<long>, ts array<long>, ids array<long>, inside array<boolean>"
+    return rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(GROUPS))).groupBy("part").applyInPandasWithState(step, "item_id string, ts timestamp, change string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, region: Region, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:

@@ -1,10 +1,14 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 
+from orrery.functions import regions as G
 from orrery.operators import clusters as K
 from orrery.operators import knn as N
 from orrery.operators import projections as J
 from orrery.operators import sums as Z
+from orrery.streaming import regions as ST
 
 
 def cloud(n, seed=0):
@@ -107,3 +111,19 @@ def test_fits_in_blocks_equal_those_in_one_place(monkeypatch, spark, kind):
     np.testing.assert_allclose(at(parts), at(whole), atol=2e-7)
     if kind is J.KernelPca:
         assert parts.sigma == pytest.approx(whole.sigma, abs=1e-12) and parts.total == pytest.approx(whole.total)
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_items_that_share_a_state_are_told_apart(monkeypatch, spark, tmp_path, groups):
+    monkeypatch.setattr(ST, "GROUPS", groups)
+    rng = np.random.default_rng(4)
+    rows = [(i, f"u{rng.integers(40)}", datetime(2024, 1, 1) + timedelta(seconds=int(i)), float(rng.integers(4))) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, item_id string, ts timestamp, r double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ST.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    got = ST.finished(ST.transitions(stream, G.Shell(0.0, 2.0), "0 seconds"), "shared").collect()
+    was, want = {}, []
+    for _, item, ts, r in rows:
+        if (r <= 2.0) != was.get(item, False):
+            want.append((item, ts, "entered" if r <= 2.0 else "left"))
+        was[item] = r <= 2.0
+    assert sorted((r.item_id, r.ts, r.change) for r in got) == sorted(want)
